@@ -1,4 +1,4 @@
 """Importing the query modules fills the registry."""
 
-from lexweave.queries import text_core  # noqa: F401
+from lexweave.queries import text_core, vocab  # noqa: F401
 from lexweave.queries.base import ORACLE, QUERIES  # noqa: F401
