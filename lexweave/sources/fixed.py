@@ -130,7 +130,7 @@ TENSE_PATTERNS = [
     ("PAST_PERF", "!ara", "^(.{2,})tse$", ""),
     ("PAST_PERF_LOC", "past", "^(.{2,})e(?:ho|mo|yo)$", ""),
     ("SUBJUNCTIVE_LOC", "!ara", "^(.+)e(?:ho|mo|yo)$", "known1"),
-    ("SUBJUNCTIVE", "!ara", "^(.+)e$", "known1"),
+    ("SUBJUNCTIVE", "!ara", "^(.+)e$", ""),
     ("COPULA_PAST", "past", "^(ri)(?:ho|mo|yo)?$", ""),
     ("COPULA_PRES", "!ara", "^(ri)(?:ho|mo|yo)?$", ""),
     ("NEG_ANTERIOR", "!ara", "^tara(.+)a$", ""),
@@ -286,7 +286,7 @@ CONNECTIVES = [
 ]
 
 # Spelling at morpheme seams, applied in this order to a "|"-delimited form.
-# (pattern, replacement, times). "9" rules hold only with the noun-class-9 flag, "!9" only without it.
+# (when, pattern, replacement, times): "9" holds only for noun class 9, "!9" only for other forms.
 SEAM_RULES = [
     ("", r"\|w\|y", "|y|w", 1),
     ("", r"sh\|y", "sh", 2),
@@ -297,9 +297,9 @@ SEAM_RULES = [
     ("", r"s\|y", "sh", 2),
     ("", r"nk\|y", "ns", 2),
     ("", r"k\|y", "ts", 2),
-    ("", r"c\|y(?=[aeiou])", "sh", 2),
+    ("", r"c\|y([aeiou])", "sh$1", 2),
     ("", r"c\|y", "c", 2),
-    ("", r"at\|y(?=[aeiou])", "ash", 2),
+    ("", r"at\|y([aeiou])", "ash$1", 2),
     ("", r"t\|y", "s", 2),
     ("", r"z\|y", "j", 2),
     ("", r"h\|y", "sh", 2),
@@ -310,8 +310,8 @@ SEAM_RULES = [
     ("", r"n\|([fpbv])", "m$1", 2),
     ("", r"n\|h", "mp", 2),
     ("", r"n\|([nm])", "$1", 3),
-    ("", r"(^|\|)k([^|])\|(?![aeiou])", "$1g$2|", 2),
-    ("", r"(^|\|)t([^|])\|(?![aeiou])", "$1d$2|", 2),
+    ("", r"(^|\|)k([^|])\|([^aeiou])", "$1g$2|$3", 2),
+    ("", r"(^|\|)t([^|])\|([^aeiou])", "$1d$2|$3", 2),
     ("", r"w\|y", "w", 2),
     ("", r"y\|y", "y", 2),
     ("", r"y\|w", "w", 2),
@@ -323,7 +323,7 @@ SEAM_RULES = [
     ("", r"a\|u", "o", 1),
     ("", r"[uo]\|([aeiou])", "w$1", 3),
     ("", r"[ie]\|([aeiou])", "y$1", 3),
-    ("", r"(^|[aeiou|])a\|([aeiou])", "$1$2", 3),
+    ("", r"(^|[aeiou])a\|([aeiou])", "$1$2", 3),
     ("", r"a\|([aeiou])", "y$1", 3),
     ("", r"\|", "", 1),
     ("", r"nts", "ns", 1),
