@@ -116,6 +116,12 @@ def hiatus_rule(word: Column) -> Column:
     )
 
 
+def bad_cluster(word: Column) -> Column:
+    """P10 as a test of one word: two consonants side by side that may not be (not m/n first, not y/w
+    second, not sh, ts or pf)."""
+    return word.rlike(r"(?!sh|ts|pf)[b-df-hj-lp-tv-z][b-df-hj-np-tvxz]")
+
+
 def vowel_join(prefix: Column, stem: Column) -> Column:
     """Join two morphemes and settle the contact of two vowels at the seam."""
     last, before = F.right(prefix, F.lit(1)), F.substring(prefix, -2, 1)

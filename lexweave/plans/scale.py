@@ -20,6 +20,7 @@ SALTS = 16
 BROADCAST_ROWS = 200_000
 SKETCH = 10_000          # accuracy of the sketch that brackets a quantile: rank error <= n / SKETCH
 MARGIN = 10.0 / SKETCH   # the bracket is ten times wider than that error
+SMALL_GROUP = 10_000     # groups up to this size are ranked whole; the bracket is many ranks wide beyond it
 
 
 def spread(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -101,7 +102,12 @@ def exact_quantile(
     bracket = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", [low, high], SKETCH).alias("_b"), F.count(F.lit(1)).alias("n")
     )
-    side = F.when(F.col("_v") < F.col("_b")[0], -1).when(F.col("_v") > F.col("_b")[1], 1).otherwise(0)
+    side = (
+        F.when(F.col("n") <= SMALL_GROUP, 0)
+        .when(F.col("_v") < F.col("_b")[0], -1)
+        .when(F.col("_v") > F.col("_b")[1], 1)
+        .otherwise(0)
+    )
     counted = (
         salted_join(rows, bracket, keys)
         .withColumn("_side", side)

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.plans.scale import bounded, local_table
+from lexweave.plans.scale import BROADCAST_ROWS, local_table
 from lexweave.sources import fixed
 
 # file name -> schema of the open lists
@@ -50,11 +50,15 @@ def possessives() -> list[tuple]:
 
 
 def read_list(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """One open list, numbered by its place in the file (the files are read in order, one split each)."""
+    """One open list, numbered by its place in the file. A list is a dimension: more rows than may be
+    broadcast is an error, not something to cut."""
     df = spark.read.csv(
         os.path.join(folder, name + ".tsv"), sep="\t", header=True, schema=schema, comment="#", enforceSchema=True
     )
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    rows = df.take(BROADCAST_ROWS + 1)
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"{name} has more than {BROADCAST_ROWS} rows: too large for a lexicon list")
+    return with_order(spark, [tuple(r) for r in rows], schema)
 
 
 def load_dimensions(spark: SparkSession, lexicon_dir: str | None = None) -> dict[str, DataFrame]:
@@ -85,7 +89,7 @@ def load_dimensions(spark: SparkSession, lexicon_dir: str | None = None) -> dict
     for name, schema in LEXICON_FILES.items():
         path = os.path.join(lexicon_dir, name + ".tsv") if lexicon_dir else None
         if path and os.path.exists(path):
-            dims[name] = bounded(read_list(spark, lexicon_dir, name, schema))
+            dims[name] = read_list(spark, lexicon_dir, name, schema)
         else:
-            dims[name] = spark.createDataFrame([], schema + ", ord int")
+            dims[name] = spark.createDataFrame([], "ord int, " + schema)
     return dims
