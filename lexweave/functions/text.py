@@ -38,17 +38,17 @@ CLAUSE = ("COMMA", "SEMICOLON")
 STOPS = '.,!?;:()"“”«»–—'
 # Stands for a right single quote that closes a quotation (it did not follow a letter).
 CLOSING = "\ue000"
-SPACED = "(<<|>>|--)"
-LOOSE_QUOTE = f"(^|[ \\t\\n\\r{STOPS}‘])’"
-AFTER_APOSTROPHE = "(['’])[ \\t\\n\\r]+"
-TOKEN = (
-    f"(<<|>>|--|[{STOPS}{CLOSING}]|‘|"
-    f"['’]*[^ \\t\\n\\r{STOPS}'’{CLOSING}]+)"
-)
+BLANKS = " \t\n\r"
+ASCII_BLANKS = BLANKS + "\x0b\f"
+DOUBLED = "(<<|>>|--)"
+LOOSE_QUOTE = f"(^|[{BLANKS}{STOPS}‘])’"
+AFTER_APOSTROPHE = f"(['’])[{BLANKS}]+"
+OPENING = f"(?<![^{BLANKS}])‘"
+LONE_APOSTROPHE = f"(?<![^{BLANKS}])['’]+(?![^{BLANKS}])"
 
 
 def ascii_trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t\n\r\x0B\f]+|[ \t\n\r\x0B\f]+$", "")
+    return F.btrim(c, F.lit(ASCII_BLANKS))
 
 
 def split_lines(text: Column) -> Column:
@@ -64,33 +64,54 @@ def split_sentences(text: Column, blank: str = r"[ \n]+") -> Column:
 
 def blank_numbers(text: Column) -> Column:
     """Replace digit runs that stand alone by a space."""
-    return F.regexp_replace(text, r"(?<![\p{L}\p{N}_])\d+(?![\p{L}\p{N}_])", " ")
+    return F.regexp_replace(text, r"\d(?<![\p{L}\p{N}_].)\d*(?![\p{L}\p{N}_])", " ")
 
 
 def token_strings(text: Column) -> Column:
-    """Array of raw tokens; a leading apostrophe is kept as a sign that one was split there."""
-    spaced = F.regexp_replace(text, SPACED, " $1 ")
-    quoted = F.regexp_replace(spaced, LOOSE_QUOTE, f"$1 {CLOSING} ")
-    tight = F.regexp_replace(quoted, AFTER_APOSTROPHE, "$1")
-    return F.regexp_extract_all(tight, F.lit(TOKEN), F.lit(1))
+    """Array of raw tokens; a leading apostrophe is kept as a sign that one was split there.
+
+    Marks are set apart by blanks and the text is cut at blanks. The patterns for doubled marks, apostrophes
+    and single quotes run only on texts that have one: native searches instead of patterns over every character.
+    """
+    rare = F.lit(False)
+    for mark in ("<<", ">>", "--", "'", "’", "‘"):
+        rare = rare | text.contains(mark)
+    full = F.regexp_replace(text, DOUBLED, " $1 ")
+    full = F.regexp_replace(full, LOOSE_QUOTE, f"$1 {CLOSING} ")
+    full = F.regexp_replace(F.regexp_replace(full, AFTER_APOSTROPHE, "$1"), "(['’]+)", " $1")
+    full = F.regexp_replace(full, f"([{STOPS}{CLOSING}])", " $1 ")
+    full = F.regexp_replace(F.regexp_replace(full, OPENING, " ‘ "), OPENING, " ‘ ")
+    full = F.regexp_replace(full, LONE_APOSTROPHE, " ")
+    common = F.regexp_replace(text, f"([{STOPS}])", " $1 ")
+    spaced = F.btrim(F.when(rare, full).otherwise(common), F.lit(BLANKS))
+    return F.array_remove(F.split(spaced, f"[{BLANKS}]+"), "")
 
 
 def mark_type(surface: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
-    return F.element_at(table, surface)
+    return F.when(F.length(surface) <= 2, F.element_at(table, surface))
+
+
+def word_of(raw: Column) -> Column:
+    """A raw corpus-count word without the marks around it, lower case."""
+    return F.btrim(F.lower(raw), F.lit(".,;:!?() \t"))
+
+
+def raw_frequency_words(sentence: Column) -> Column:
+    """Array of raw words for corpus counts: quotes and lone numbers out."""
+    return F.split(blank_numbers(F.regexp_replace(sentence, "[«»\"“”']+", " ")), r"\s+")
 
 
 def frequency_words(sentence: Column) -> Column:
-    """Array of words for corpus counts: quotes and lone numbers out, marks stripped, lower case."""
-    text = blank_numbers(F.regexp_replace(sentence, "[«»\"“”']+", " "))
-    raw = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 1)
-    words = F.transform(raw, lambda w: F.btrim(F.lower(w), F.lit(".,;:!?() \t")))
-    return F.filter(words, lambda w: ~w.rlike(r"^\d+$"))
+    """Array of words for corpus counts: marks stripped, lower case, single characters and numbers out."""
+    raw = F.filter(raw_frequency_words(sentence), lambda w: F.length(w) > 1)
+    return F.filter(F.transform(raw, word_of), lambda w: ~w.rlike(r"^\d+$"))
 
 
 def fold(c: Column) -> Column:
     """Lower case with macron vowels reduced to plain ones."""
-    return F.translate(F.lower(c), "āēīōū", "aeiou")
+    low = F.lower(c)
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(F.translate(low, "āēīōū", "aeiou"))
 
 
 def split_fused(text: Column, forms: list[str]) -> Column:

@@ -43,8 +43,9 @@ def trigger_scores(s: DataFrame, mark: str, minimum: int) -> DataFrame:
     sides = s.select(
         _target(mark).alias("hit"),
         (F.length("text") > 8).alias("long"),
-        F.explode(tx.frequency_words(F.col("text"))).alias("word"),
-    ).where(F.col("hit") | F.col("long"))
+        F.explode(tx.raw_frequency_words(F.col("text"))).alias("_raw"),
+    ).where((F.col("hit") | F.col("long")) & (F.length("_raw") > 1))
+    sides = sides.select("hit", tx.word_of(F.col("_raw")).alias("word")).where(~F.col("word").rlike(r"^\d+$"))
     counts = sides.groupBy("word").agg(F.count_if("hit").alias("tc"), F.count_if(~F.col("hit")).alias("oc"))
     totals = counts.agg(F.struct(F.sum("tc").alias("t"), F.sum("oc").alias("o")).alias("s"))
     targets = s.where(_target(mark)).agg(F.count(F.lit(1)).alias("n"))

@@ -42,14 +42,15 @@ def tokenize(s: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
     """
     at, raw = F.col("_at"), F.col("_raw")
     rows = s.select(*ids, "sent_no", F.posexplode(tx.token_strings(F.col("text"))).alias("_at", "_raw"))
-    surface = F.regexp_replace(raw, "^['’]+(?=.)", "")
+    after_apostrophe = (F.length(raw) > 1) & (raw.startswith("'") | raw.startswith("’"))
+    surface = F.when(after_apostrophe, F.ltrim(raw, F.lit("'’"))).otherwise(raw)
     rows = rows.select(
         *ids,
         "sent_no",
         (at + 1).cast("int").alias("tok_no"),
         F.when(raw == tx.CLOSING, "’").otherwise(surface).alias("surface"),
         F.when(raw == tx.CLOSING, "QUOTE_CLOSE").otherwise(tx.mark_type(raw)).alias("punct_type"),
-        raw.rlike("^['’]+.").alias("preceded_by_apostrophe"),
+        after_apostrophe.alias("preceded_by_apostrophe"),
     )
     return rows.withColumn("lower", tx.fold(F.col("surface")))
 
@@ -61,7 +62,9 @@ def split_fused(s: DataFrame, forms: list[str], text: str = "text") -> DataFrame
 
 def clean_tokens(s: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
     """P6. Words for corpus counts, one row each."""
-    return s.select(*ids, "sent_no", F.explode(tx.frequency_words(F.col("text"))).alias("word"))
+    raw = s.select(*ids, "sent_no", F.explode(tx.raw_frequency_words(F.col("text"))).alias("_raw"))
+    words = raw.where(F.length("_raw") > 1).select(*ids, "sent_no", tx.word_of(F.col("_raw")).alias("word"))
+    return words.where(~F.col("word").rlike(r"^\d+$"))
 
 
 def quote_direction(t: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:

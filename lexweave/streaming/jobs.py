@@ -26,11 +26,15 @@ def read_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
     return lines.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 
 
+def clean_lines(lines: DataFrame) -> DataFrame:
+    """Arriving lines trimmed; blank and ``#`` lines dropped."""
+    clean = lines.withColumn("text", tx.ascii_trim(F.col("text")))
+    return clean.where((F.col("text") != "") & ~F.col("text").startswith("#"))
+
+
 def stream_tokens(lines: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFrame:
     """R1, first half: lines to sentences to typed tokens, stateless."""
-    clean = lines.withColumn("text", tx.ascii_trim(F.col("text")))
-    clean = clean.where((F.col("text") != "") & ~F.col("text").startswith("#"))
-    return tk.tokenize(tk.sentences(clean, ids=ids), ids=ids)
+    return tk.tokenize(tk.sentences(clean_lines(lines), ids=ids), ids=ids)
 
 
 def stream_analyze(
@@ -50,7 +54,7 @@ def stream_ortho(lines: DataFrame, ids: Sequence[str] = ("doc_id",)) -> DataFram
 def sentence_checks(lines: DataFrame, interrogative: Sequence[str], ids: Sequence[str] = ("doc_id",)) -> DataFrame:
     """R1. Sentence checks that need the whole sentence, done on its token array inside the row: unequal
     parentheses, a question word before a full stop, no final mark."""
-    s = tk.sentences(lines, ids=ids).withColumn("_t", tx.token_strings(F.col("text")))
+    s = tk.sentences(clean_lines(lines), ids=ids).withColumn("_t", tx.token_strings(F.col("text")))
     t = F.col("_t")
 
     def count(mark: str):
