@@ -65,24 +65,30 @@ def _window(ids: Sequence[str], *extra: str) -> Window:
     return Window.partitionBy(*ids, "sent_no", *extra).orderBy("tok_no")
 
 
-ME = ["tok_no", "surface", "lower", "punct_type", "pos", "noun_class", "pron_type", "stem", "is_proper_noun"]
+# What the rules ask of each neighbour; narrower structs make narrower rows in every window.
+NEIGHBOURS = {
+    "p1": ("lag", 1, "pos noun_class punct_type"),
+    "p2": ("lag", 2, "pos noun_class pron_type lower"),
+    "p3": ("lag", 3, "pos noun_class"),
+    "n1": ("lead", 1, "tok_no pos punct_type lower"),
+    "pc": ("lag", 1, "tok_no pos stem"),
+    "nc": ("lead", 1, "tok_no pos pron_type lower is_proper_noun"),
+    "nc2": ("lead", 2, "pos is_proper_noun"),
+}
 
 
 def context(t: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
     """Neighbour structs of every token: ``p1..p3`` and ``n1`` any token, ``pc``, ``nc``, ``nc2`` words only."""
     o = over(ids)
-    me = "named_struct(" + ", ".join(f"'{c}', {c}" for c in ME) + ")"
-    word = f"case when punct_type is null then {me} end"
-    columns = {
-        "p1": f"lag({me}, 1) {o}",
-        "p2": f"lag({me}, 2) {o}",
-        "p3": f"lag({me}, 3) {o}",
-        "n1": f"lead({me}, 1) {o}",
-        "pc": f"lag({word}, 1) ignore nulls {o}",
-        "nc": f"lead({word}, 1) ignore nulls {o}",
-        "nc2": f"lead({word}, 2) ignore nulls {o}",
-    }
-    return t.select("*", *[F.expr(e).alias(n) for n, e in columns.items()])
+
+    def neighbour(name: str) -> Column:
+        side, offset, fields = NEIGHBOURS[name]
+        me = "named_struct(" + ", ".join(f"'{c}', {c}" for c in fields.split()) + ")"
+        if name in ("pc", "nc", "nc2"):
+            return F.expr(f"{side}(case when punct_type is null then {me} end, {offset}) ignore nulls {o}").alias(name)
+        return F.expr(f"{side}({me}, {offset}) {o}").alias(name)
+
+    return t.select("*", *[neighbour(n) for n in NEIGHBOURS])
 
 
 def error(kind: str, when: Column, tok: Column | None = None, corrected: Column | None = None) -> Column:
@@ -97,10 +103,14 @@ def error(kind: str, when: Column, tok: Column | None = None, corrected: Column
 
 
 def errors(t: DataFrame, found: Sequence[Column], ids: Sequence[str] = IDS) -> DataFrame:
-    """``ids, sent_no, tok_no, type, corrected_word`` of the rules that hold, from one scan."""
-    return t.select(*ids, "sent_no", F.explode(F.array_compact(F.array(*found))).alias("_e")).select(
-        *ids, "sent_no", "_e.*"
-    )
+    """``ids, sent_no, tok_no, type, corrected_word`` of the rules that hold, from one scan.
+
+    The array is made in a projection of its own and nulls are dropped after the explode: inside a generator
+    or a filter lambda the rules would be interpreted, here they are compiled.
+    """
+    rows = t.select(*ids, "sent_no", F.array(*found).alias("_a"))
+    rows = rows.select(*ids, "sent_no", F.explode("_a").alias("_e")).where(F.col("_e").isNotNull())
+    return rows.select(*ids, "sent_no", "_e.*")
 
 
 def is_word() -> Column:
@@ -189,8 +199,8 @@ def subject_columns(t: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
     )
     s = s.withColumn("_skip", skipped)
     stop = (
-        "case when not _skip then named_struct('tok_no', tok_no, 'surface', surface, 'pos', pos, "
-        "'noun_class', noun_class, 'seen', _seen, 'human', _human) end"
+        "case when not _skip then named_struct('pos', pos, 'noun_class', noun_class, 'seen', _seen, "
+        "'human', _human) end"
     )
     return s.withColumn("subj", F.expr(f"lag({stop}) ignore nulls {over(ids)}")).drop(
         "_seg", "_seen", "_human", "_skip"
