@@ -79,7 +79,8 @@ def salted_join(
     """Join on ``keys`` with the rows of one key spread over ``salts`` tasks.
 
     ``small`` has at most one row per key and is repeated ``salts`` times; ``big`` takes the salt from a
-    hash of its whole row, so the same row always gets the same salt, also when a task is run again.
+    hash of its whole row, so the same row always gets the same salt, also when a task is run again. Rows of
+    a key must therefore differ in some column: keep an id or position in ``big``, or merge equal rows first.
     """
     seed = [F.col(c) for c, t in big.dtypes if not t.startswith("map")]
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*seed), F.lit(salts)).cast("int"))
@@ -94,7 +95,8 @@ def exact_quantile(
 
     A sketch (merged map-side) first gives two values that surely enclose the wanted rank. Values outside
     only need counting; values inside are counted per distinct value and ranked. So the one ordered pass
-    per key covers about ``2 * MARGIN`` of the group instead of all of it.
+    per key covers about ``2 * MARGIN`` of the group instead of all of it. Equal values are merged before the
+    salted join: one value may make up a third of all rows.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -108,12 +110,13 @@ def exact_quantile(
         .when(F.col("_v") > F.col("_b")[1], 1)
         .otherwise(0)
     )
+    values = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
     counted = (
-        salted_join(rows, bracket, keys)
+        salted_join(values, bracket, keys)
         .withColumn("_side", side)
         .withColumn("_v", F.when(F.col("_side") == 0, F.col("_v")))
         .groupBy(*keys, "_side", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
+        .agg(F.sum("_m").alias("_c"), F.first("n").alias("n"))
     )
     order = Window.partitionBy(*keys).orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.lit(p) * (F.col("n") - 1)

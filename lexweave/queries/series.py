@@ -45,7 +45,9 @@ KINDS = ["view", "click", "purchase", "error", "signup"]
 SELECT list_position({KINDS}, kind)::INTEGER AS ord, kind AS context, count(*) AS n, round(quantile_cont(rel, 0.5), 6) AS median, round(avg(rel), 6) AS mean FROM r GROUP BY kind""",
 )
 def length_by_context(spark, sf):
-    v = frames(spark, sf).select("clip_id", F.col("kind").alias("context"), F.col("f0").alias("dur"))
+    v = frames(spark, sf).select(
+        "clip_id", F.col("event_id").alias("i"), F.col("kind").alias("context"), F.col("f0").alias("dur")
+    )
     return sr.length_by_context(v, contexts=KINDS)
 
 

@@ -33,6 +33,17 @@ def test_exact_quantile(skewed):
             assert abs(got[k][0] - np.quantile(g["x"], p)) < 1e-9 and got[k][1] == len(g)
 
 
+def test_exact_quantile_of_a_large_group(spark):
+    """Beyond SMALL_GROUP only the values near the rank are kept; one value makes up a third of the rows."""
+    n = 3 * scale.SMALL_GROUP
+    rng = np.random.default_rng(9)
+    x = np.where(np.arange(n) % 3 == 0, 1.25, rng.normal(size=n))
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x}))
+    for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = scale.exact_quantile(df, ["k"], "x", "q", p).first()["q"]
+        assert abs(got - np.quantile(x, p)) < 1e-12
+
+
 def test_exact_quantile_ignores_nulls_and_takes_constants(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, None), (2, 5.0), (3, 1.0), (3, 2.0)], "k int, x double")
     got = {r["k"]: r["m"] for r in scale.exact_quantile(df, ["k"], "x", "m").collect()}
