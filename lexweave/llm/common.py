@@ -171,3 +171,21 @@ def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows, if there are so many, that never cut a group; batches come sorted by ``key``."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        whole = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next batch
+        if whole:
+            yield table.slice(0, whole)
+        held, n = table.slice(whole).to_batches(), n - whole
+    if held:
+        yield pa.Table.from_batches(held)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm import packing, records, simhash
+from lexweave.llm import decontam, embed, linededup, packing, records, simhash
 from lexweave.llm.common import default_tokenizer, documents, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,22 @@ def op4_simhash(spark, sf):
 @query
 def op8_packing(spark, sf):
     return packing.pack(documents(spark, sf), default_tokenizer())
+
+
+@query
+def op6_embeddings(spark, sf):
+    return embed.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query
+def op7_decontamination(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return decontam.digests(decontam.find(documents(spark, sf).select("doc_id", "text"), items))
+
+
+@query
+def op9_line_dedup(spark, sf):
+    """The lines deleted from each document and a digest of the text that is left."""
+    out = linededup.dedup_lines(documents(spark, sf).select("doc_id", "text"))
+    removed = F.coalesce(F.array_sort("_removed"), F.array().cast("array<int>"))
+    return out.select("doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

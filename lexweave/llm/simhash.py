@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import batch_of, text_slices, written
+from lexweave.llm.common import batch_of, text_slices, whole_groups, written
 from lexweave.llm.components import components, forest
 
 SEED = 42
@@ -177,19 +177,8 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 4 * RANGE:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            bucket = table.column("bucket").to_numpy()
-            whole = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-            if whole:
-                yield from found(table.slice(0, whole))
-            held = table.slice(whole).to_batches()
-        if held:
-            yield from found(pa.Table.from_batches(held))
+        for table in whole_groups(batches, "bucket", 4 * RANGE):
+            yield from found(table)
 
     def found(table: pa.Table):
         bucket, side = table.column("bucket").to_numpy(), table.column("side").to_numpy()
