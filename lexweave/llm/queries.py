@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm import decontam, embed, linededup, packing, records, simhash
+from lexweave.llm import decontam, embed, linededup, packing, quality, records, simhash, toxicity
 from lexweave.llm.common import default_tokenizer, documents, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,17 @@ def op9_line_dedup(spark, sf):
     out = linededup.dedup_lines(documents(spark, sf).select("doc_id", "text"))
     removed = F.coalesce(F.array_sort("_removed"), F.array().cast("array<int>"))
     return out.select("doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def labels(spark, sf):
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@query
+def op2_toxicity(spark, sf):
+    return toxicity.digests(documents(spark, sf), labels(spark, sf))
+
+
+@query
+def op10_quality(spark, sf):
+    return quality.digests(documents(spark, sf), labels(spark, sf))
