@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm import decontam, embed, linededup, packing, quality, records, simhash, toxicity
+from lexweave.llm import chat, decontam, embed, linededup, packing, quality, records, simhash, toxicity, urlfilter
 from lexweave.llm.common import default_tokenizer, documents, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,19 @@ def op2_toxicity(spark, sf):
 @query
 def op10_quality(spark, sf):
     return quality.digests(documents(spark, sf), labels(spark, sf))
+
+
+@query
+def op3_chat(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    path = fresh_path(spark, "chat")
+    chat.write_chat(turns.union(added), path)
+    return chat.digests(spark, path)
+
+
+@query
+def op5_urls(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.own_labels(spark)).select("page_id", "host", "path", "rule", "verdict", "score")

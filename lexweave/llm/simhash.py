@@ -64,15 +64,16 @@ def fingerprints(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``id, fp`` (the 64 bits as a long) of every row."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """``id, text_hash, fp`` (the 64 bits as a long) of every row."""
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                yield batch_of(schema, part.column("id"), fingerprints(part.column("text").to_pylist(), width).view(np.int64))
+                yield batch_of(schema, part.column("id"), part.column("text_hash"), fingerprints(part.column("text").to_pylist(), width).view(np.int64))
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 # --- the lower index ------------------------------------------------------------------------------------------------
@@ -203,6 +204,16 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return keyed.mapInArrow(join, "a long, b long").where("a <> b").distinct()
 
 
+def _named(df: DataFrame, id_column: str, text_column: str, width: int, most: int) -> DataFrame:
+    """id, text_hash, fp, component_id and component (a name that is never null) of every row."""
+    rows = written(with_fingerprints(df, id_column, text_column, width), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    reached = components(links(classes.select("fp"), most))
+    named = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(names, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, most: int = MOST) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id reachable by links.
 
@@ -210,11 +221,15 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     their fingerprint but never name a component; a component of such rows alone has a null name. Repeated rows come back
     as often as they occur.
     """
-    rows = written(with_fingerprints(df, id_column, text_column, width), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    reached = components(links(classes.select("fp"), most))
-    named = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "component").select("fp", "component_id")
-    out = rows.join(named, "fp")
+    out = _named(df, id_column, text_column, width, most)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """One row of each component, with its own columns: that of the smallest id, of several of this id one text, once."""
+    rows = _named(df, id_column, text_column, width, most)
+    leaders = rows.where("id <=> component_id").groupBy("component").agg(F.min("component_id").alias("_id"), F.min("text_hash").alias("_hash"))
+    keyed = df.withColumn("_id", F.col(id_column).cast("long")).withColumn("_hash", F.xxhash64(text_column))
+    leaders = leaders.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"))
+    kept = keyed.join(leaders, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select(*df.columns)
