@@ -92,7 +92,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> Isotonic:
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
     if not blocks:
         return Isotonic(np.zeros(1), np.full(1, 0.5))
-    return Isotonic(np.array([b[2] / b[1] for b in blocks]), np.array([min(max(b[0] / b[1], 0.5 / (b[1] + 1)), 1 - 0.5 / (b[1] + 1)) for b in blocks]))
+    level = np.array([min(max(b[0] / b[1], 0.5 / (b[1] + 1)), 1 - 0.5 / (b[1] + 1)) for b in blocks])
+    return Isotonic(np.array([b[2] / b[1] for b in blocks]), np.maximum.accumulate(level))
 
 
 # --- labelled rows --------------------------------------------------------------------------------------------------

@@ -1,14 +1,15 @@
 """Line dedup by pairwise alignment: a block of lines that an earlier document has is deleted from the later one.
 
-Lines are compared by a hash of their words. Every line that several documents share proposes one partner to each later
-document: the first document that has it. So pairs grow with the lines, never with the square of a group, and every shared
-line is looked for where it stands first. A pair is aligned by patience diff: the rarest common lines, as a rule those that
-occur once on either side, are the anchors, common starts and ends of the stretches between them follow, and blocks of
-enough words count.
+Lines are compared by a hash of their words. The shortest runs of lines with enough words, from each line on and back from
+each line, propose the partners: the first document that has such a run is aligned with every later one. A run is rare as
+single short lines are not, and pairs grow with the lines, never with the square of a group; yet every line of a common
+block lies in such a run. A pair is aligned by patience diff: the rarest common lines, as a rule those that occur once on
+either side, are the anchors, and common starts and ends of the stretches between them follow.
 """
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import Counter
 
@@ -66,30 +67,41 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Places (first, last) in the later document of blocks of at least ``least`` words that the earlier one has as well.
+def common_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], least: int = BLOCK_WORDS) -> set[int]:
+    """Places of the later document in blocks of at least ``least`` words that the earlier one has as well.
 
     ``later`` has place, hash and words of its shared lines, ``earlier`` place and hash; places count lines that aren't
     blank. What is found is set aside and the rest of the later document aligned again: a block that moved or that is
-    repeated is found too.
+    repeated is found too. Lines left over are looked at one by one, as an alignment keeps an order and blocks may overlap.
     """
-    out = []
-    while later and earlier:
-        pairs = align([x[1] for x in later], [x[1] for x in earlier])
+    words, gone, left = {p: n for p, _, n in later}, set(), later
+    while left and earlier:
         blocks: list[list[tuple[int, int]]] = []
-        for i, j in pairs:
-            p, q = later[i][0], earlier[j][0]
-            if blocks and (later[blocks[-1][-1][0]][0], earlier[blocks[-1][-1][1]][0]) == (p - 1, q - 1):
-                blocks[-1].append((i, j))
+        for i, j in align([x[1] for x in left], [x[1] for x in earlier]):
+            pair = left[i][0], earlier[j][0]
+            if blocks and blocks[-1][-1] == (pair[0] - 1, pair[1] - 1):
+                blocks[-1].append(pair)
             else:
-                blocks.append([(i, j)])
-        long = [b for b in blocks if sum(later[i][2] for i, _ in b) >= least]
-        if not long:
+                blocks.append([pair])
+        found = {p for b in blocks if sum(words[p] for p, _ in b) >= least for p, _ in b}
+        if not found:
             break
-        out += [(later[b[0][0]][0], later[b[-1][0]][0]) for b in long]
-        gone = {i for b in long for i, _ in b}
-        later = [x for i, x in enumerate(later) if i not in gone]
-    return sorted(out)
+        gone |= found
+        left = [x for x in left if x[0] not in gone]
+    here, there, places = {p: h for p, h, _ in later}, dict(earlier), {}
+    for q, h in earlier:
+        places.setdefault(h, []).append(q)
+    for p, h, _ in left:
+        for q in places.get(h, ()):
+            first, last = 0, 0
+            while p + first - 1 in here and here[p + first - 1] == there.get(q + first - 1):
+                first -= 1
+            while p + last + 1 in here and here[p + last + 1] == there.get(q + last + 1):
+                last += 1
+            if sum(words[x] for x in range(p + first, p + last + 1)) >= least:
+                gone.add(p)
+                break
+    return gone
 
 
 # --- Spark jobs -----------------------------------------------------------------------------------------------------
@@ -106,21 +118,55 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
     return numbers, hashes, sizes
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """One row per line that isn't blank: doc, text_hash, place, number, h, words."""
-    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("number", pa.int32()), ("h", pa.int64()), ("words", pa.int32())])
+def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last line of the shortest runs of at least ``least`` words from each line on, and back from each line."""
+    out, total, first = set(), 0, 0
+    for last, n in enumerate(sizes):
+        total += n
+        while total - sizes[first] >= least:  # the shortest run that ends here
+            total -= sizes[first]
+            first += 1
+        if total >= least:
+            out.add((first, last))
+    total, last = 0, len(sizes) - 1
+    for first in range(len(sizes) - 1, -1, -1):
+        total += sizes[first]
+        while total - sizes[last] >= least:
+            total -= sizes[last]
+            last -= 1
+        if total >= least:
+            out.add((first, last))
+    return sorted(out)
+
+
+_LINE = "array<struct<place:int,h:bigint,words:int,number:int>>"
+
+
+def _runs(rows: DataFrame, least: int) -> DataFrame:
+    """One row per run: doc, text_hash, key and its lines."""
+    line = pa.struct([("place", pa.int32()), ("h", pa.int64()), ("words", pa.int32()), ("number", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(line))])
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                out = [[], [], [], [], [], []]
-                for doc, key, text in zip(*(part.column(c).to_pylist() for c in ("doc", "text_hash", "text"))):
-                    numbers, hashes, sizes = line_hashes(text or "")
-                    for column, values in zip(out, ([doc] * len(numbers), [key] * len(numbers), range(len(numbers)), numbers, hashes, sizes)):
-                        column.extend(values)
-                yield batch_of(schema, *out)
-
-    return rows.mapInArrow(run, "doc long, text_hash long, place int, number int, h long, words int")
+                docs, hashes_, keys, places, h, words, numbers, ends = [], [], [], [], [], [], [], [0]
+                for doc, text_hash, text in zip(*(part.column(c).to_pylist() for c in ("doc", "text_hash", "text"))):
+                    number, hashes, sizes = line_hashes(text)
+                    for first, last in runs(sizes, least):
+                        some = hashes[first : last + 1]
+                        docs.append(doc)
+                        hashes_.append(text_hash)
+                        keys.append(some[0] if first == last else xxhash.xxh64_intdigest(struct.pack(f"<{len(some)}q", *some)) - (1 << 63))
+                        places += range(first, last + 1)
+                        h += some
+                        words += sizes[first : last + 1]
+                        numbers += number[first : last + 1]
+                        ends.append(len(h))
+                inner = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((places, h, words, numbers), line)], fields=list(line))
+                yield batch_of(schema, docs, hashes_, keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner))
+
+    return rows.mapInArrow(run, f"doc long, text_hash long, key long, lines {_LINE}")
 
 
 def deletions(rows: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
@@ -128,14 +174,14 @@ def deletions(rows: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
 
     Documents come in the order of their ids; rows of one id are never aligned with each other, and a null id with nothing.
     """
-    lines = written(_lines(rows.where("doc IS NOT NULL AND text IS NOT NULL")), "lines")
-    spread = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("h", "first")
-    shared = lines.join(spread, "h")
-    per_doc = shared.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("place", "h", "words", "number"))).alias("lines"), F.collect_set("first").alias("firsts"))
-    per_doc = written(per_doc, "shared-lines")
+    found = written(_runs(rows.where("doc IS NOT NULL AND text IS NOT NULL"), least), "runs")
+    spread = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("key", "first")
+    shared = found.join(spread, "key")
+    lines = F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines"))))
+    per_doc = written(shared.groupBy("doc", "text_hash").agg(lines.alias("lines"), F.collect_set("first").alias("firsts")), "shared-lines")
     later = per_doc.select("doc", "text_hash", "lines", F.explode(F.filter("firsts", lambda x: x < F.col("doc"))).alias("partner"))
     later = later.select("doc", "text_hash", "partner", "lines.place", "lines.h", "lines.words", "lines.number")
-    # the partner's lines once per key of a hot partner too: an equi-join, whose large keys Spark splits
+    # a document may be the partner of very many: an equi-join, whose large keys Spark splits
     earlier = per_doc.select(F.col("doc").alias("partner"), F.col("lines.place").alias("place2"), F.col("lines.h").alias("h2"))
     pairs = later.join(earlier, "partner")
     schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("numbers", pa.list_(pa.int32()))])
@@ -145,16 +191,14 @@ def deletions(rows: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
             out = []
             columns = (batch.column(c).to_pylist() for c in ("doc", "text_hash", "place", "h", "words", "number", "place2", "h2"))
             for doc, key, place, h, words, number, place2, h2 in zip(*columns):
-                at = dict(zip(place, number))
-                # places between the ends of a block are the shared lines of the block, so each has its number
-                gone = [at[p] for first, last in common_blocks(list(zip(place, h, words)), list(zip(place2, h2)), least) for p in range(first, last + 1)]
+                gone = common_blocks(list(zip(place, h, words)), list(zip(place2, h2)), least)
                 if gone:
-                    out.append((doc, key, gone))
+                    out.append((doc, key, [n for p, n in zip(place, number) if p in gone]))
             if out:
                 yield batch_of(schema, *map(list, zip(*out)))
 
-    found = pairs.mapInArrow(run, "doc long, text_hash long, numbers array<int>")
-    return found.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+    gone = pairs.mapInArrow(run, "doc long, text_hash long, numbers array<int>")
+    return gone.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
 
 
 def dedup_lines(df: DataFrame, least: int = BLOCK_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
