@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries that one Python worker keeps of text chunks and their ids before it starts afresh.
-CHUNK_CACHE = 1_000_000
+#: Pieces of text whose ids one Python worker keeps, and as many older ones.
+CHUNK_CACHE = 250_000
 
 
 _LOCAL: dict[str, str] = {}
@@ -93,6 +94,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.marks = dict(zip(",.", self._raw([",", "."])))
 
@@ -107,29 +109,49 @@ class Encoder:
 
     def _words(self, words: list[str], lead: str, parts: int) -> Iterator[bytes]:
         """Ids of words of letters, each after ``lead``: the library splits each into so many ``parts``."""
-        for group in slices(words, 512):
+        size = self.dtype.itemsize
+        for group in slices(words, 1024):
             found = self.tokenizer.encode(lead + lead.join(group), add_special_tokens=False)
-            ids = np.array(found.ids, dtype=self.dtype)
-            at = np.searchsorted(np.array(found.word_ids) // parts, np.arange(len(group) + 1))
-            yield from (ids[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist()))
+            raw = np.array(found.ids, dtype=self.dtype).tobytes()
+            word = np.array(found.word_ids) // parts
+            ends = ((np.flatnonzero(word[1:] != word[:-1]) + 1) * size).tolist()
+            yield from (raw[i:j] for i, j in zip([0, *ends], [*ends, len(raw)]))
 
-    def _learn(self, cache: dict[str, bytes], new: set[str], lead: str) -> None:
+    def _learn(self, cache: dict[str, bytes], new: Iterable[str], lead: str) -> None:
         """Pieces that aren't plain get no ids: ``b""``, which no piece of a text has."""
-        tails = [p for p in new if p[-1:] in (",", ".") and p[-2:-1].isalpha() and p[0] != "\n"]  # a letter and a mark are never one token
-        new = {p for p in (new.difference(tails) | {p[:-1] for p in tails}) if p not in cache}
-        words = [p for p in new if p.isalpha()] if lead else []
-        lines = [p for p in new if p[:1] == "\n" and p[1:].isalpha()]
-        rest = new.difference(words, lines)
-        plain = [p for p in rest if self._plain(p)]
-        cache.update(zip(words, self._words(words, " ", 1)))
+        words, tails, lines, plain = {}, [], [], []
+        for p in new:
+            if p.isalpha():
+                words[p] = None
+            elif p[:-1].isalpha() and p[-1] in ",.":  # a letter and a mark are never one token
+                tails.append(p)
+                if p[:-1] not in cache:
+                    words[p[:-1]] = None
+            elif p[:1] == "\n" and p[1:].isalpha():
+                lines.append(p)
+            elif self._plain(p):
+                plain.append(p)
+            else:
+                cache[p] = b""
+        if lead:
+            cache.update(zip(words, self._words(list(words), " ", 1)))
+        else:
+            cache.update(zip(words, self._raw(list(words))))
         cache.update(zip(lines, self._words([p[1:] for p in lines], "\n", 2)))
-        cache.update(dict.fromkeys(rest, b""))
         cache.update(zip(plain, self._raw([p if p[0] == "\n" else lead + p for p in plain])))
-        cache.update((p, cache[p[:-1]] and cache[p[:-1]] + self.marks[p[-1]]) for p in tails)
+        cache.update([(p, cache[p[:-1]] + self.marks[p[-1]]) for p in tails])
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        if len(self.pieces) + len(self.firsts) > CHUNK_CACHE:
-            self.pieces.clear()
+        gc.disable()  # nothing here is cyclic, and a collection would go through all pieces kept
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        if len(self.pieces) > CHUNK_CACHE:  # pieces that are met again move over from the older half
+            self.older, self.pieces = self.pieces, {}
+        if len(self.firsts) > CHUNK_CACHE:
             self.firsts.clear()
         out: list = []
         later, whole, firsts, rest = [], [], set(), set()
@@ -138,16 +160,23 @@ class Encoder:
             found = list(map(self.pieces.get, parts))
             found[0] = self.firsts.get(parts[0])
             if None in found:
+                missing = [i for i, ids in enumerate(found) if ids is None]
                 firsts.add(parts[0])
-                rest.update(p for p, ids in zip(parts[1:], found[1:]) if ids is None)
-                later.append((len(out), text, parts))
+                rest.update([parts[i] for i in missing if i])
+                later.append((len(out), text, parts, found, missing))
+                out.append(None)
             elif b"" in found:
                 whole.append((len(out), text))
-            out.append(b"".join(filter(None, found)))
-        self._learn(self.pieces, rest, " ")
-        self._learn(self.firsts, firsts - self.firsts.keys(), "")
-        for i, text, parts in later:
-            found = [self.firsts[parts[0]], *map(self.pieces.__getitem__, parts[1:])]
+                out.append(None)
+            else:
+                out.append(b"".join(found))
+        again = {p: ids for p in rest if (ids := self.older.get(p)) is not None}
+        self.pieces.update(again)
+        self._learn(self.pieces, [p for p in rest if p not in again], " ")
+        self._learn(self.firsts, [p for p in firsts if p not in self.firsts], "")
+        for i, text, parts, found, missing in later:
+            for k in missing:
+                found[k] = self.pieces[parts[k]] if k else self.firsts[parts[0]]
             if b"" in found:
                 whole.append((i, text))
             else:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lexweave.llm.common import batch_of, encoder, text_slices, texts, written
 
 END_ID = 0
-RECORDS_PER_FILE = 8192
+RECORDS_PER_FILE = 4096
 #: Bytes of text that one file partition is meant to hold.
 PARTITION_BYTES = 64 << 20
 LANE = 512
@@ -186,9 +186,10 @@ def build_index(spark: SparkSession, path: str) -> None:
     index.drop("base", "before").write.parquet(f"{path}/index")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record, its checksums verified: doc_id, part, piece, offset, n_tokens, ids_crc32 and the ids as ``array<int>``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("piece", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def read_records(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
+    """Every record, its checksums verified: doc_id, part, piece, offset, n_tokens, ids_crc32 and, if kept, the ids."""
+    fields = [(c, pa.int64()) for c in ("doc_id", "part", "piece", "offset", "n_tokens", "ids_crc32")]
+    schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if keep_ids else fields)
 
     def read(batches):
         for batch in batches:
@@ -205,16 +206,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         kind = np.dtype("<u4" if flags & 2 else "<u2")
                         ids.append(np.frombuffer(data, kind, (n - 9) // kind.itemsize, at + HEADER + 9).astype("<u4"))
                     sizes = [len(x) for x in ids]
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
-                    yield batch_of(schema, docs, [part] * len(docs), [piece] * len(docs), some[:, 0], sizes, [zlib.crc32(x.tobytes()) for x in ids], lists)
+                    columns = [docs, [part] * len(docs), [piece] * len(docs), some[:, 0], sizes, [zlib.crc32(x.tobytes()) for x in ids]]
+                    if keep_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32))))
+                    yield batch_of(schema, *columns)
 
-    return _files(spark, path).mapInArrow(read, "doc_id long, part long, piece long, offset long, n_tokens long, ids_crc32 long, ids array<int>")
+    kinds = "doc_id long, part long, piece long, offset long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    return _files(spark, path).mapInArrow(read, kinds)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per record, from the files: doc_id, start, n_tokens, ids_crc32; start by way of the index."""
     index = spark.read.parquet(f"{path}/index").select("part", "piece", "offset", "start")
-    return read_records(spark, path).drop("ids").join(index, ["part", "piece", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_records(spark, path, keep_ids=False).join(index, ["part", "piece", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
