@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pieces of text whose ids one Python worker keeps, and as many older ones.
-CHUNK_CACHE = 250_000
+CHUNK_CACHE = 400_000
 
 
 _LOCAL: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lexweave.llm.common import batch_of, encoder, text_slices, texts, written
 
 END_ID = 0
-RECORDS_PER_FILE = 4096
+RECORDS_PER_FILE = 2048
 #: Bytes of text that one file partition is meant to hold.
 PARTITION_BYTES = 64 << 20
 LANE = 512
@@ -143,7 +143,7 @@ def write_records(
         wide = enc.dtype.itemsize == 4
         end = np.array([END_ID], dtype=enc.dtype).tobytes()
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=1_000_000):
                 ids = part.column("doc_id").to_pylist()
                 found = enc.encode(texts(part.column("text")))
                 yield batch_of(schema, frame([struct.pack("<qB", i or 0, (i is None) + 2 * wide) + x.tobytes() + end for i, x in zip(ids, found)]))
@@ -158,7 +158,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     """``part, piece`` give a file's place in the order; ``content`` its bytes, at most ``RECORDS_PER_FILE`` records."""
     files = spark.read.format("binaryFile").load(f"{path}/records")
     number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
-    return files.select("path", number(r"part-(\d+)").alias("part"), number(r"-c(\d+)[^/]*$").alias("piece"), "content")
+    return files.select("path", number(r"part-(\d+)").alias("part"), number(r"-c(\d+)\.txt").alias("piece"), "content")
 
 
 def build_index(spark: SparkSession, path: str) -> None:
