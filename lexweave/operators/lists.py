@@ -147,9 +147,9 @@ def mine_exemplars(
 
 
 def agreement(words: DataFrame, gold: str = "gold", heard: str = "heard") -> DataFrame:
-    """A16. Per word whether length, tone and everything agree, compared vowel by vowel in the row."""
+    """A16. Per word whether length, tone and everything agree, compared vowel by vowel in the row; words without a gold marking are left out."""
     g, h = mk.moras(F.col(gold)), mk.moras(F.col(heard))
-    s = words.withColumn("_v", F.arrays_zip(g.alias("g"), h.alias("h"))).withColumn("_same", F.size(g) == F.size(h))
+    s = words.where(F.col(gold) != "").withColumn("_v", F.arrays_zip(g.alias("g"), h.alias("h"))).withColumn("_same", F.size(g) == F.size(h))
 
     def every(test) -> Column:
         return F.col("_same") & F.forall("_v", test)

@@ -18,11 +18,12 @@ def vocabulary(spark, sf):
 
 @query(
     "fold",
-    f"""WITH {V} SELECT translate(lower(upper(word)), 'āēīōū', 'aeiou') AS folded, count(*) AS forms, sum(n)::BIGINT AS n
-FROM vocab GROUP BY 1""",
+    f"""WITH {sq.tokens_cte()}, forms AS (SELECT surface, count(*) AS n FROM tokens WHERE punct_type IS NULL GROUP BY surface)
+SELECT translate(lower(surface), 'āēīōū', 'aeiou') AS folded, count(*) AS forms, sum(n)::BIGINT AS n FROM forms GROUP BY 1""",
 )
 def fold(spark, sf):
-    words = vocabulary(spark, sf).select(F.upper("word").alias("word"), "n")
+    """The words as they are written, in mixed case."""
+    words = tk.tokenize(tk.sentences(documents(spark, sf))).where("punct_type IS NULL").groupBy(F.col("surface").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     return vb.fold_words(words).groupBy("folded").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
 
 
