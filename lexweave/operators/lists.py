@@ -46,18 +46,23 @@ ANNOTATIONS = ["your_marking", "heard", "recording", "notes"]
 
 def merge_annotations(new: DataFrame, old: DataFrame, keep: Sequence[str] = ANNOTATIONS) -> DataFrame:
     """J11. The new list with earlier annotations of the same (plain, meaning); extra ways of saying a word
-    (old ids like ``31-2``) are attached under the word's new id."""
+    (old ids like ``31-2``) are attached under the word's new id.
+
+    Old ids run in list order: of equal words the last row counts, and ways keep their order, both by number.
+    """
     key = ["plain", "meaning"]
-    base = old.where(~F.col("id").contains("-")).groupBy(*key).agg(
-        F.max_by(F.struct(*keep), "id").alias("_o")
-    )
+
+    def part(n: int) -> Column:
+        return F.split_part("id", F.lit("-"), F.lit(n)).cast("bigint")
+
+    base = old.where(~F.col("id").contains("-")).groupBy(*key).agg(F.max_by(F.struct(*keep), part(1)).alias("_o"))
     j = new.join(base, key, "left")
     main = j.select(
         F.col("id").cast("string").alias("id"), *key, "source",
         *[F.coalesce(F.col("_o")[c], F.lit("")).alias(c) for c in keep],
     )
     ways = old.where(F.col("id").contains("-"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("id")) + 1
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(part(1), part(2))) + 1
     ways = ways.select(*key, *keep, nth.alias("_n"))
     extra = new.join(ways, key).select(
         F.concat(F.col("id").cast("string"), F.lit("-"), F.col("_n").cast("string")).alias("id"), *key, "source", *keep

@@ -102,15 +102,17 @@ def error(kind: str, when: Column, tok: Column | None = None, corrected: Column
     )
 
 
-def errors(t: DataFrame, found: Sequence[Column], ids: Sequence[str] = IDS) -> DataFrame:
+def errors(t: DataFrame, found: Sequence[Column], ids: Sequence[str] = IDS, numbered: bool = False) -> DataFrame:
     """``ids, sent_no, tok_no, type, corrected_word`` of the rules that hold, from one scan.
 
+    With ``numbered`` also ``error_no``: the place of the rule in ``found``.
+
     The array is made in a projection of its own and nulls are dropped after the explode: inside a generator
     or a filter lambda the rules would be interpreted, here they are compiled.
     """
     rows = t.select(*ids, "sent_no", F.array(*found).alias("_a"))
-    rows = rows.select(*ids, "sent_no", F.explode("_a").alias("_e")).where(F.col("_e").isNotNull())
-    return rows.select(*ids, "sent_no", "_e.*")
+    rows = rows.select(*ids, "sent_no", F.posexplode("_a").alias("error_no", "_e")).where(F.col("_e").isNotNull())
+    return rows.select(*ids, "sent_no", "_e.*", *(["error_no"] if numbered else []))
 
 
 def is_word() -> Column:

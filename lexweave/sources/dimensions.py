@@ -1,13 +1,15 @@
 """S7. Dimension tables with their match order.
 
 Closed tables come from ``fixed``. Open word lists are parameters: tab-separated files with a header in a
-lexicon folder, in match order. A list that is missing is empty, and rules that need it simply do not fire.
+lexicon folder on any file system that Spark reads, in match order. A folder without one of the lists is an error,
+unless the caller names the list as optional: then it is empty, and rules that need it simply do not fire.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Collection
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def read_list(spark: SparkSession, folder: str, name: str, schema: str) -> DataF
     """One open list, numbered by its place in the file. A list is a dimension: more rows than may be
     broadcast is an error, not something to cut."""
     df = spark.read.csv(
-        os.path.join(folder, name + ".tsv"), sep="\t", header=True, schema=schema, comment="#", enforceSchema=True
+        f"{folder.rstrip('/')}/{name}.tsv", sep="\t", header=True, schema=schema, comment="#", enforceSchema=True
     )
     rows = df.take(BROADCAST_ROWS + 1)
     if len(rows) > BROADCAST_ROWS:
@@ -61,8 +63,13 @@ def read_list(spark: SparkSession, folder: str, name: str, schema: str) -> DataF
     return with_order(spark, [tuple(r) for r in rows], schema)
 
 
-def load_dimensions(spark: SparkSession, lexicon_dir: str | None = None) -> dict[str, DataFrame]:
-    """All dimension tables by name; each small enough to broadcast, which is checked on load."""
+def load_dimensions(
+    spark: SparkSession, lexicon_dir: str | None = None, optional: Collection[str] = ()
+) -> dict[str, DataFrame]:
+    """All dimension tables by name; each small enough to broadcast, which is checked on load.
+
+    Without a folder all open lists are empty; in a folder only those named in ``optional`` may be missing.
+    """
     dims = {
         "noun_classes": with_order(
             spark, fixed.NOUN_CLASSES,
@@ -87,9 +94,11 @@ def load_dimensions(spark: SparkSession, lexicon_dir: str | None = None) -> dict
         "rule_pronouns": with_order(spark, possessives(), "word string, pron_type string, noun_class int"),
     }
     for name, schema in LEXICON_FILES.items():
-        path = os.path.join(lexicon_dir, name + ".tsv") if lexicon_dir else None
-        if path and os.path.exists(path):
-            dims[name] = read_list(spark, lexicon_dir, name, schema)
-        else:
-            dims[name] = spark.createDataFrame([], "ord int, " + schema)
+        dims[name] = spark.createDataFrame([], "ord int, " + schema)
+        if lexicon_dir:
+            try:
+                dims[name] = read_list(spark, lexicon_dir, name, schema)
+            except AnalysisException as e:
+                if name not in optional or e.getCondition() != "PATH_NOT_FOUND":
+                    raise
     return dims

@@ -41,4 +41,4 @@ def lexicon_dir(tmp_path_factory):
 def dims(spark, lexicon_dir):
     from lexweave.sources.dimensions import load_dimensions
 
-    return load_dimensions(spark, lexicon_dir)
+    return load_dimensions(spark, lexicon_dir, optional=["documented"])

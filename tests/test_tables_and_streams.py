@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import lists as li, tokens as tk
+from lexweave.operators import lists as li, report as rp, rules as ru, tokens as tk
 from lexweave.sources import corpus, tables as tb
 from lexweave.streaming import jobs
 
@@ -134,3 +134,20 @@ def test_write_tags(spark, tmp_path):
 def test_read_text_corpus(spark, lines):
     df = corpus.read_text_corpus(spark, lines)
     assert corpus.corpus_lines(df).count() == 3
+
+
+def test_lexicon_folder_by_any_path(spark, lexicon_dir):
+    from pyspark.errors import AnalysisException
+
+    from lexweave.sources.dimensions import load_dimensions
+
+    dims = load_dimensions(spark, f"file://{lexicon_dir}", optional=["documented"])
+    assert dims["verb_stems"].count() == 11 and dims["documented"].count() == 0
+    with pytest.raises(AnalysisException):
+        load_dimensions(spark, lexicon_dir)
+
+
+def test_the_first_error_of_a_token_is_corrected(spark):
+    t = spark.createDataFrame([(1, 1, 1, "x")], "doc_id bigint, sent_no int, tok_no int, surface string")
+    found = [F.struct(F.col("tok_no"), F.lit("SPELLING").alias("type"), F.lit(w).alias("corrected_word")) for w in ("zzz", "aaa")]
+    assert rp.apply_corrections(t, ru.errors(t, found, numbered=True)).first().word == "zzz"
