@@ -61,7 +61,7 @@ def analyze(
     tagged = ru.gram_roles(ru.resolve_subject(tagged, rules, ids), rules, ids)
     return {
         "tokens": tagged,
-        "errors": ru.violations(tagged, rules, ids),
+        "errors": ru.violations(tagged, rules, ids, rp.harmony_rules()),
         "sentence_facts": ru.sentence_flags(tagged, rules, ids),
     }
 

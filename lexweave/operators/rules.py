@@ -553,11 +553,12 @@ def all_rule_columns(t: DataFrame, rules: RuleTables = RULES, ids: Sequence[str]
     return sentence_columns(t, rules, ids)
 
 
-def violations(t: DataFrame, rules: RuleTables = RULES, ids: Sequence[str] = IDS) -> DataFrame:
-    """Every violation of every rule, from one pass over the tokens."""
+def violations(t: DataFrame, rules: RuleTables = RULES, ids: Sequence[str] = IDS, more: Sequence[Column] = ()) -> DataFrame:
+    """Every violation of every rule, and of the rules ``more``, from one pass over the tokens."""
     found = [
         *no_verb_rules(), *agreement_rules(rules), *word_rules(), *subject_verb_rules(), *pair_rule_columns(rules),
         *purpose_rules(), *comma_rule_columns(rules), *clause_punct_rules(rules), *balance_rules(), *terminal_rules(),
+        *more,
     ]
     return errors(all_rule_columns(t, rules, ids), found, ids)
 

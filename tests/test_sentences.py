@@ -155,3 +155,9 @@ def test_resolve_subject(spark):
     t = t.withColumn("verb_tense", F.when(F.col("lower") == "yaremye", "PAST_PERF"))
     out = {r["lower"]: r["noun_class"] for r in ru.resolve_subject(t).collect()}
     assert out == {"imana": 9, "yaremye": 9, "ita": 9}
+
+
+def test_vowel_harmony_is_among_the_errors(spark, dims):
+    rows = spark.createDataFrame([(1, "Umuntu arakorisha."), (2, "Umuntu arakoresha.")], "doc_id bigint, text string")
+    found = api.analyze(rows, dims=dims)["errors"].where("type = 'SPELLING'").collect()
+    assert [(r.doc_id, r.corrected_word) for r in found] == [(1, "arakoresha")]
