@@ -21,6 +21,8 @@ from lexweave.llm.common import batch_of, text_slices, written
 
 #: Words of the shortest block that is deleted.
 BLOCK_WORDS = 10
+#: Documents that make a line of fewer words boilerplate.
+FREQUENT = 25
 
 
 # --- alignment ------------------------------------------------------------------------------------------------------
@@ -169,12 +171,32 @@ def _runs(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc long, text_hash long, key long, lines {_LINE}")
 
 
-def deletions(rows: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
+def frequent_lines(rows: DataFrame, least: int, often: int) -> DataFrame:
+    """``doc, text_hash, numbers``: lines of under ``least`` words that ``often`` documents or more have, in all but the first."""
+    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("number", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                out = []
+                for doc, text_hash, text in zip(*(part.column(c).to_pylist() for c in ("doc", "text_hash", "text"))):
+                    out += [(doc, text_hash, h, number) for number, h, n in zip(*line_hashes(text)) if n < least]
+                if out:
+                    yield batch_of(schema, *map(list, zip(*out)))
+
+    lines = written(rows.mapInArrow(run, "doc long, text_hash long, h long, number int"), "short-lines")
+    spread = lines.select("h", "doc").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
+    later = lines.join(spread.where(F.col("n") >= often).select("h", "first"), "h").where("doc > first")
+    return later.groupBy("doc", "text_hash").agg(F.collect_set("number").alias("numbers"))
+
+
+def deletions(rows: DataFrame, least: int = BLOCK_WORDS, often: int = FREQUENT) -> DataFrame:
     """``doc, text_hash, numbers``: lines to delete, of ``rows(doc, text_hash, text)``; documents that lose none are absent.
 
     Documents come in the order of their ids; rows of one id are never aligned with each other, and a null id with nothing.
     """
-    found = written(_runs(rows.where("doc IS NOT NULL AND text IS NOT NULL"), least), "runs")
+    rows = rows.where("doc IS NOT NULL AND text IS NOT NULL")
+    found = written(_runs(rows, least), "runs")
     spread = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").select("key", "first")
     shared = found.join(spread, "key")
     lines = F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines"))))
@@ -197,18 +219,18 @@ def deletions(rows: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
             if out:
                 yield batch_of(schema, *map(list, zip(*out)))
 
-    gone = pairs.mapInArrow(run, "doc long, text_hash long, numbers array<int>")
+    gone = pairs.mapInArrow(run, "doc long, text_hash long, numbers array<int>").union(frequent_lines(rows, least, often))
     return gone.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
 
 
-def dedup_lines(df: DataFrame, least: int = BLOCK_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, least: int = BLOCK_WORDS, id_column: str = "doc_id", text_column: str = "text", often: int = FREQUENT) -> DataFrame:
     """All rows and columns, the text without the lines deleted, and ``_removed``, their numbers from 0 (null: none).
 
     A null or empty text stays as it is. Blank lines stay unless all other lines of a document go; then the text is empty.
     """
     names = df.columns
     keyed = df.withColumn("_doc", F.col(id_column).cast("long")).withColumn("_key", F.xxhash64(text_column))
-    gone = deletions(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_hash"), F.col(text_column).alias("text")), least)
+    gone = deletions(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_hash"), F.col(text_column).alias("text")), least, often)
     gone = gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_key"), F.col("numbers").alias("_removed"))
     lines = F.split(F.col(text_column), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed"), lambda i: F.get(lines, i))
