@@ -66,9 +66,9 @@ def closest_same_ending(spark, sf):
 
 @query("dtw_refs")
 def dtw_refs(spark, sf):
-    """Warped distance on contours resampled to 20 points; checked against brute force in the tests."""
+    """Warped distance on contours resampled to 40 points; checked against brute force in the tests."""
     targets, refs = (
-        df.withColumn("contour", fse.resample(F.col("contour"), 20)) for df in contour_tables(spark, sf)
+        df.withColumn("contour", fse.resample(F.col("contour"), 40)) for df in contour_tables(spark, sf)
     )
     return ct.closest(targets, refs, k=3, distance="dtw")
 
