@@ -186,7 +186,8 @@ def frequent_lines(rows: DataFrame, least: int, often: int) -> DataFrame:
 
     lines = written(rows.mapInArrow(run, "doc long, text_hash long, h long, number int"), "short-lines")
     spread = lines.select("h", "doc").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
-    later = lines.join(spread.where(F.col("n") >= often).select("h", "first"), "h").where("doc > first")
+    found = written(spread.where(F.col("n") >= often).select("h", "first"), "frequent-lines")
+    later = lines.join(found, "h").where("doc > first")  # of two written tables: Spark splits the rows of a very common line
     return later.groupBy("doc", "text_hash").agg(F.collect_set("number").alias("numbers"))
 
 
