@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm import chat, decontam, embed, linededup, packing, quality, records, simhash, toxicity, urlfilter
+from lexweave.llm import chat, decontam, embed, exactdedup, lexical, linededup, packing, prefixtrie, quality, records, simhash, sqltext, toxicity, urlfilter
 from lexweave.llm.common import default_tokenizer, documents, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_prefix_trie": sqltext.PREFIX_TRIE, "op12_exact_dedup": sqltext.EXACT_DEDUP, "op13_search": sqltext.SEARCH}
 
 
 def query(fn):
@@ -82,3 +82,18 @@ def op3_chat(spark, sf):
 def op5_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     return urlfilter.judge(pages, urlfilter.own_labels(spark)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op11_prefix_trie(spark, sf):
+    return prefixtrie.trie(spark.read.parquet(f"{sf}/conversations.parquet")).drop("k1", "k2")
+
+
+@query
+def op12_exact_dedup(spark, sf):
+    return exactdedup.classes(documents(spark, sf))
+
+
+@query
+def op13_search(spark, sf):
+    return lexical.search(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
