@@ -157,7 +157,7 @@ def nodes(turns: DataFrame, ids: DataFrame) -> DataFrame:
     paths = written(prefixes(turns, weighted.select("conv", "weight", "len", "total")), "prefixes")
     inner = paths.where("depth < len").select(F.col("depth").alias("len"), "k1", "k2").distinct()
     leaves = weighted.join(inner, name, "left_anti").select("conv", F.lit(1).cast("long").alias("leaf"))
-    first = paths.groupBy(*node).agg(F.min("conv").alias("owner"))
+    first = written(paths.groupBy(*node).agg(F.min("conv").alias("owner")), "first-members")  # of two written tables Spark splits the rows of a very common prefix
     foreign = paths.join(first, node).where("owner <> conv").groupBy("conv").agg(F.max("depth").alias("last"), F.max("cum").alias("last_cum"), F.max_by("owner", "depth").alias("last_owner"))
     own = weighted.select("conv").join(foreign, "conv", "left").join(leaves, "conv", "left")
     own = own.select("conv", F.coalesce("last", F.lit(-1).cast("long")).alias("last"), F.coalesce("last_cum", F.lit(0).cast("long")).alias("last_cum"), "last_owner", F.coalesce("leaf", F.lit(0).cast("long")).alias("leaf"))
