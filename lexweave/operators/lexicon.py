@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import VOWELS
+from lexweave.operators import verbforms
 from lexweave.plans.scale import BROADCAST_ROWS, bounded, local_table, salted_join
 from lexweave.sources import fixed
 from lexweave.sources.dimensions import first_hits, with_order
@@ -43,8 +44,8 @@ def lexicon_tag(vocab: DataFrame, invariables: DataFrame, pronouns: DataFrame, k
     inv = first_hits(invariables).select("word", F.col("pos").alias("_inv"))
     pro = first_hits(pronouns).select("word", F.col("pron_type").alias("_pt"), F.col("noun_class").alias("_pc"))
     kno = first_hits(known).select("word", F.col("noun_class").alias("_kc"), F.col("stem").alias("_ks"))
-    j = vocab.join(F.broadcast(inv), "word", "left").join(F.broadcast(pro), "word", "left")
-    j = j.join(F.broadcast(kno), "word", "left")
+    # one row per form on both sides, so no key is hot; Spark broadcasts the lists that are small
+    j = vocab.join(inv, "word", "left").join(pro, "word", "left").join(kno, "word", "left")
     is_inv, is_pro = F.col("_inv").isNotNull(), F.col("_pt").isNotNull()
     is_kno = F.col("_kc").isNotNull()
     pos = F.when(is_inv, F.col("_inv")).when(is_pro, "PRONOUN").when(is_kno, "NOUN")
@@ -147,10 +148,11 @@ def verbs(
 ) -> DataFrame:
     """J4. ``word, stem, noun_class, tense, obj_class, ext, is_negative, stem_known``.
 
-    Order of choice: negative imperative, then subject prefix in table order and tense pattern in table
-    order, then a bare known stem, and last the habitual present on an unknown stem.
+    Order of choice: negative imperative; the best reading as a generated form of a known stem (``verbforms``); for words
+    that are none, subject prefix in table order and tense pattern in table order, then a bare known stem, and last the
+    habitual present on an unknown stem. Tables given for another language leave the generated forms out.
     """
-    spark = vocab.sparkSession
+    generated = prefixes is None and patterns is None
     prefixes = fixed.SUBJECT_PREFIXES if prefixes is None else prefixes
     patterns = fixed.TENSE_PATTERNS if patterns is None else patterns
     known = bounded(stems.select("stem").distinct().withColumn("_known", F.lit(True)))
@@ -159,7 +161,29 @@ def verbs(
     base = vocab.select("word", (strip > 0).alias("is_negative"), F.substr(w, strip + 1).alias("base")).where(
         F.length("base") >= 3
     )
-    heads = prefix_candidates(base, with_order(spark, prefixes, "prefix string, noun_class int"), 3, "base")
+    forbidden = [
+        F.when(w.startswith(x) & w.endswith("a"), F.substr(w, F.lit(len(x) + 1), F.length(w) - len(x) - 1))
+        for x in NEGATIVE_IMPERATIVE
+    ]
+    forbidden = base.select("word", F.posexplode(F.array(*forbidden)).alias("o1", "stem")).join(known, "stem")
+    forbidden = pick_first(forbidden, "word", ["o1"], ["stem"]).select(
+        "word", "stem", F.lit(None).cast("int").alias("noun_class"), F.lit("NEG_IMPERATIVE").alias("tense"),
+        F.lit(None).cast("int").alias("obj_class"), F.lit(None).cast("string").alias("ext"), F.lit(True).alias("is_negative"),
+        F.lit(True).alias("stem_known"),
+    )
+    base = base.join(forbidden.select("word"), "word", "left_anti")
+    forms = forbidden
+    if generated:
+        read = verbforms.analyses(base.select("word"), stems).where("rank = 1")
+        read = read.withColumn("stem_known", F.lit(True)).withColumn("noun_class", F.when(F.col("noun_class") > 0, F.col("noun_class")))
+        forms = forbidden.unionByName(read.select(*forbidden.columns))
+        base = base.join(read.select("word"), "word", "left_anti")
+    return forms.unionByName(pattern_verbs(base, known, prefixes, patterns).select(*forms.columns))
+
+
+def pattern_verbs(base: DataFrame, known: DataFrame, prefixes: list[tuple], patterns: list[tuple]) -> DataFrame:
+    """The part of J4 for words without a generated form; ``base`` has word, is_negative and the word without negation."""
+    heads = prefix_candidates(base, with_order(base.sparkSession, prefixes, "prefix string, noun_class int"), 3, "base")
     p = F.col("prefix")
     allowed = {
         "": F.lit(True),
@@ -184,49 +208,23 @@ def verbs(
         "word", "is_negative", "noun_class", "_r.stem", "_r.tense", "_r.test", F.col("ord").alias("o1"),
         F.col("_r.rank").alias("o2"),
     )
-    bare = base.select(
-        "word",
-        "is_negative",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(
-                            w.startswith(x) & w.endswith("a"),
-                            F.struct(
-                                F.substr(w, F.lit(len(x) + 1), F.length(w) - len(x) - 1).alias("stem"),
-                                F.lit("NEG_IMPERATIVE").alias("tense"), F.lit("neg").alias("test"),
-                            ),
-                        )
-                        for x in NEGATIVE_IMPERATIVE
-                    ],
-                    *[
-                        F.when(
-                            F.col("base").endswith(v),
-                            F.struct(
-                                F.substr("base", F.lit(1), F.length("base") - 1).alias("stem"),
-                                F.lit(t).alias("tense"), F.lit("bare").alias("test"),
-                            ),
-                        )
-                        for v, t in (("a", "IMPERATIVE"), ("e", "SUBJUNCTIVE"))
-                    ],
-                )
-            )
-        ).alias("_x"),
-    ).select(
-        "word", (F.col("is_negative") | (F.col("_x.test") == "neg")).alias("is_negative"),
-        F.lit(0).alias("noun_class"), "_x.stem", "_x.tense", "_x.test", F.lit(0).alias("o1"), F.lit(0).alias("o2"),
+    endings = [
+        F.when(
+            F.col("base").endswith(v),
+            F.struct(F.substr("base", F.lit(1), F.length("base") - 1).alias("stem"), F.lit(t).alias("tense")),
+        )
+        for v, t in (("a", "IMPERATIVE"), ("e", "SUBJUNCTIVE"))
+    ]
+    bare = base.select("word", "is_negative", F.explode(F.array_compact(F.array(*endings))).alias("_x")).select(
+        "word", "is_negative", F.lit(0).alias("noun_class"), "_x.stem", "_x.tense", F.lit("bare").alias("test"),
+        F.lit(0).alias("o1"), F.lit(0).alias("o2"),
     )
     rows = found.unionByName(bare).join(known, "stem", "left").withColumn("known", F.coalesce("_known", F.lit(False)))
     test, size = F.col("test"), F.length("stem")
     passes = (
-        F.when(test.isin("known", "neg", "bare"), F.col("known"))
-        .when(test == "known1", (size >= 2) | F.col("known"))
-        .otherwise(True)
-    )
-    level = (
-        F.when(test == "neg", 0).when(test == "bare", 2).when((test == "last") & ~F.col("known"), 3).otherwise(1)
+        F.when(test.isin("known", "bare"), F.col("known")).when(test == "known1", (size >= 2) | F.col("known")).otherwise(True)
     )
+    level = F.when(test == "bare", 2).when((test == "last") & ~F.col("known"), 3).otherwise(1)
     rows = rows.where(passes).withColumn("o0", level)
     best = pick_first(
         rows, "word", ["o0", "o1", "o2"], ["stem", "noun_class", "tense", "is_negative", "known"]
@@ -315,7 +313,7 @@ def plural_lookup(vocab: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("plural").alias("word"), "stem", F.col("pl_class").alias("noun_class"), F.lit("plural").alias("side"),
         (F.col("ord") * 2 + 1).alias("ord"),
     )
-    return vocab.join(F.broadcast(first_hits(singular.unionByName(plural)).drop("ord")), "word")
+    return vocab.join(first_hits(singular.unionByName(plural)).drop("ord"), "word")
 
 
 def deverbatives(nouns: DataFrame, stems: DataFrame, stop: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.operators import corpus_stats, lexicon as lx, paradigms as pg, tokens as tk
+from lexweave.operators import corpus_stats, lexicon as lx, paradigms as pg, tokens as tk, verbforms
 from lexweave.queries import sample_lexicon as sl, sqltext as sq
 from lexweave.queries.base import documents, query, table
 from lexweave.queries.text_core import VOCAB, vocabularies
@@ -130,22 +130,73 @@ def lst(items):
     return "(" + ", ".join(f"'{x}'" for x in items) + ")"
 
 
+JOIN_SQL = """CASE WHEN NOT (regexp_matches(prefix, '[aeiou]$') AND regexp_matches(stem, '^[aeiou]')) THEN prefix || stem
+ WHEN ends_with(prefix, 'u') THEN CASE WHEN regexp_matches(prefix, '[kgh]u$') AND regexp_matches(stem, '^[ou]') THEN prefix[:-2] || stem ELSE prefix[:-2] || 'w' || stem END
+ WHEN ends_with(prefix, 'ki') THEN CASE WHEN regexp_matches(stem, '^[ie]') THEN prefix[:-3] || 'k' || stem ELSE prefix[:-3] || 'cy' || stem END
+ WHEN ends_with(prefix, 'ji') AND starts_with(stem, 'e') THEN prefix[:-3] || 'g' || stem
+ WHEN ends_with(prefix, 'i') THEN prefix[:-2] || 'y' || stem
+ WHEN NOT regexp_matches(prefix, '[yw].$') AND starts_with(stem, 'i') THEN prefix[:-2] || 'e' || stem[2:] ELSE prefix[:-2] || stem END"""
+
+
+def seam_of(prefix: str, rest: str, out: str, source: str) -> str:
+    """``source`` with a column ``out``: prefix and rest of a verb with their contact settled."""
+    return f"""(SELECT * EXCLUDE (prefix, stem), CASE WHEN prefix = '' THEN stem WHEN prefix <> 'n' THEN {JOIN_SQL}
+ WHEN regexp_matches(stem, '^(pf|h|r|c|ts)') THEN CASE stem[1] WHEN 'p' THEN 'm' WHEN 'h' THEN 'mp' WHEN 'r' THEN 'nd' WHEN 'c' THEN 'nsh' ELSE 'n' END || CASE WHEN stem[1] = 't' THEN stem[2:][2:] ELSE stem[2:] END
+ WHEN regexp_matches(stem, '^[bfpv]') THEN 'm' || stem WHEN regexp_matches(stem, '^[mn]') THEN stem ELSE 'n' || stem END AS {out}
+ FROM (SELECT *, {prefix} AS prefix, {rest} AS stem FROM {source}))"""
+
+
+def fused_sql(expr: str) -> str:
+    for pattern, replacement, times in verbforms.FUSIONS:
+        for _ in range(times):
+            expr = f"regexp_replace({expr}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+    return f"replace({expr}, '|', '')"
+
+
+FORM_CTES = f"""fsub AS {sq.values(verbforms.subjects(), 'sp, noun_class, s_ord, past_only, past')},
+fom AS {sq.values([('', None), *((f, c) for f, _, c in fixed.OBJECT_MARKERS)], 'object, obj_class')},
+ften AS {ordered(fixed.TENSE_SLOTS, 'plain, marker, final, placed, scope')},
+fkind AS {sq.values([(k,) for k in verbforms.KINDS], 'kind')}, fmark AS (SELECT DISTINCT marker FROM ften),
+fh0 AS (SELECT * FROM {seam_of('object', 'kind', 'x', '(SELECT * FROM fom, fkind)')}),
+fh1 AS (SELECT * FROM {seam_of('marker', 'x', 'x2', '(SELECT * FROM fh0, fmark)')}),
+fhead AS (SELECT * FROM {seam_of('sp', 'x2', 'head', '(SELECT * FROM fh1, fsub)')}),
+fext AS {sq.values([('', None), *fixed.EXTENSIONS], 'ext, ext_name')},
+ffin AS {ordered(fixed.FINAL_FORMS, 'final, written, needs')},
+fplace AS {sq.values([('',), *((x,) for x in fixed.PLACE_SUFFIXES)], 'place')},
+ftail0 AS (SELECT stem, ext, ext_name, final, f.ord AS f_ord, CASE WHEN written = 'ye' THEN {fused_sql("stem || CASE WHEN ext <> '' THEN '|' || ext ELSE '' END || '|ye'")} ELSE stem || ext || written END AS core
+ FROM fstem, fext, ffin f WHERE needs = '' OR regexp_matches(stem || ext, needs)),
+ftail AS (SELECT * EXCLUDE (core), core || place AS tail, CASE WHEN final <> 'ye' THEN 0 WHEN NOT starts_with(core, stem || ext) THEN -1 WHEN core = stem || ext || 'e' THEN 1 ELSE 0 END AS kept FROM ftail0, fplace),
+fkt AS (SELECT *, CASE WHEN regexp_matches(tail, '^(ts|pf)') THEN tail[1:2] ELSE tail[1] END AS kind, tail[length(kind) + 1:] AS rest FROM ftail),
+fcut AS (SELECT word, is_negative, base[1:n] AS head, base[n + 1:] AS rest FROM (SELECT word, is_negative, base, unnest(range(1, least({verbforms.LONGEST}, length(base) - 1) + 1)) AS n FROM b)),
+fmet AS (SELECT word, is_negative, sp AS prefix, noun_class::INTEGER AS noun_class, marker, object, obj_class::INTEGER AS obj_class, stem, ext_name AS ext, final, place, CASE WHEN place = '' THEN plain ELSE placed END AS tense,
+  array_to_string(list_filter([sp, marker, object, stem, ext, final, place], lambda x: x <> ''), '|') AS morphemes,
+  [CASE WHEN object <> '' THEN 1 ELSE 0 END + CASE WHEN ext <> '' THEN 2 ELSE 0 END, s_ord, CASE WHEN past AND plain = 'PAST_PERF' THEN 0 ELSE 1 END,
+   CASE WHEN kept = 1 AND ends_with(stem || ext, 'y') AND sp IN {tuple(fixed.Y_PAST_PREFIXES)} THEN 0 ELSE kept END, -length(stem), t.ord, f_ord] AS o, stem AS o1, object AS o2, ext AS o3
+ FROM fcut JOIN fhead USING (head) JOIN fkt USING (kind, rest) JOIN ften t USING (marker, final)
+ WHERE (place = '' OR placed <> '') AND CASE scope WHEN 'past' THEN past_only WHEN '!past' THEN NOT past_only ELSE TRUE END),
+fread AS (SELECT * EXCLUDE (o, o1, o2, o3, q), row_number() OVER (PARTITION BY word ORDER BY o, o1, o2, o3)::INTEGER AS rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY word, prefix, noun_class, marker, object, stem, ext, final, place, tense ORDER BY o, o1, o2, o3) AS q FROM fmet) WHERE q = 1)"""
+BASE_CTES = """vbase AS (SELECT word, CASE WHEN regexp_matches(word, '^nt[aiu].') OR (starts_with(word, 'si') AND length(word) > 4) THEN 2 ELSE 0 END AS cut FROM dvocab),
+b AS (SELECT word, cut > 0 AS is_negative, substr(word, cut + 1) AS base FROM vbase WHERE length(word) - cut >= 3)"""
+
 OM_FORMS = [(f, c) for f, _, c in fixed.OBJECT_MARKERS] + [(v, c) for f, v, c in fixed.OBJECT_MARKERS if v != f]
 VERB_SQL = f"""WITH {VOCAB}, known AS (SELECT DISTINCT left(word, length(word) - 1) AS stem FROM bvocab WHERE length(word) > 1),
-base AS (SELECT word, CASE WHEN regexp_matches(word, '^nt[aiu].') OR (starts_with(word, 'si') AND length(word) > 4) THEN 2 ELSE 0 END AS cut FROM dvocab),
-b AS (SELECT word, cut > 0 AS is_negative, substr(word, cut + 1) AS base FROM base WHERE length(word) - cut >= 3),
-heads AS (SELECT b.*, p.prefix, p.noun_class, p.ord, substr(base, length(p.prefix) + 1) AS rest FROM b JOIN {ordered(fixed.SUBJECT_PREFIXES, 'prefix, noun_class')} p ON starts_with(base, p.prefix)
+fstem AS (SELECT stem FROM known WHERE stem <> ''), {BASE_CTES}, {FORM_CTES},
+neg AS (SELECT word, stem FROM (SELECT word, o1, substr(word, length(x) + 1, length(word) - length(x) - 1) AS stem FROM b, (SELECT unnest(['mwi', 'twi', 'wi']) AS x, unnest([0, 1, 2]) AS o1) WHERE starts_with(word, x) AND ends_with(word, 'a'))
+ SEMI JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY word ORDER BY o1) = 1),
+form AS (SELECT * FROM fread ANTI JOIN neg USING (word) WHERE rank = 1),
+free AS (SELECT * FROM b ANTI JOIN neg USING (word) ANTI JOIN form USING (word)),
+heads AS (SELECT free.*, p.prefix, p.noun_class, p.ord, substr(base, length(p.prefix) + 1) AS rest FROM free JOIN {ordered(fixed.SUBJECT_PREFIXES, 'prefix, noun_class')} p ON starts_with(base, p.prefix)
  WHERE length(base) >= length(p.prefix) + 2),
 m AS (SELECT h.*, t.tense, t.test, t.ord AS o2, regexp_extract(rest, t.rx, 1) AS stem FROM heads h JOIN {ordered(VERB_PATTERNS, 'tense, scope, rx, test')} t ON regexp_matches(rest, t.rx)
  WHERE CASE WHEN scope = 'ara' THEN prefix = 'ara' WHEN prefix = 'ara' THEN FALSE WHEN scope = 'u' THEN prefix IN ('u', 'nu')
  WHEN scope = 'past' THEN prefix IN {lst(fixed.PAST_PREFIXES)} WHEN scope = 'pastonly' THEN prefix IN {lst(fixed.PAST_ONLY_PREFIXES)}
  WHEN scope = '!ka' THEN prefix NOT IN ('ka', 'ga') ELSE TRUE END),
 alls AS (SELECT word, is_negative, noun_class, stem, tense, test, ord AS o1, o2 FROM m WHERE stem <> ''
- UNION ALL SELECT word, TRUE, 0, substr(word, length(x) + 1, length(word) - length(x) - 1), 'NEG_IMPERATIVE', 'neg', 0, 0 FROM b, (SELECT unnest(['mwi', 'twi', 'wi']) AS x) WHERE starts_with(word, x) AND ends_with(word, 'a')
- UNION ALL SELECT word, is_negative, 0, base[:-2], CASE WHEN ends_with(base, 'a') THEN 'IMPERATIVE' ELSE 'SUBJUNCTIVE' END, 'bare', 0, 0 FROM b WHERE right(base, 1) IN ('a', 'e')),
+ UNION ALL SELECT word, is_negative, 0, base[:-2], CASE WHEN ends_with(base, 'a') THEN 'IMPERATIVE' ELSE 'SUBJUNCTIVE' END, 'bare', 0, 0 FROM free WHERE right(base, 1) IN ('a', 'e')),
 k AS (SELECT a.*, known.stem IS NOT NULL AS known FROM alls a LEFT JOIN known USING (stem)),
-ok AS (SELECT *, CASE WHEN test = 'neg' THEN 0 WHEN test = 'bare' THEN 2 WHEN test = 'last' AND NOT known THEN 3 ELSE 1 END AS o0 FROM k
- WHERE CASE WHEN test IN ('known', 'neg', 'bare') THEN known WHEN test = 'known1' THEN length(stem) >= 2 OR known ELSE TRUE END),
+ok AS (SELECT *, CASE WHEN test = 'bare' THEN 2 WHEN test = 'last' AND NOT known THEN 3 ELSE 1 END AS o0 FROM k
+ WHERE CASE WHEN test IN ('known', 'bare') THEN known WHEN test = 'known1' THEN length(stem) >= 2 OR known ELSE TRUE END),
 best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY word ORDER BY o0, o1, o2) = 1),
 om AS (SELECT word, f, c FROM best JOIN {ordered(OM_FORMS, 'f, c')} x ON starts_with(stem, f) AND length(stem) > length(f) QUALIFY row_number() OVER (PARTITION BY word ORDER BY x.ord) = 1),
 ex AS (SELECT word, e, n FROM best JOIN {ordered(fixed.EXTENSIONS, 'e, n')} x ON ends_with(stem, e) AND length(stem) >= length(e) + 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY x.ord) = 1),
@@ -156,7 +207,9 @@ o AS (SELECT word, 0 AS rank, stem AS bare, NULL AS obj_class, NULL AS ext FROM
 oo AS (SELECT o.*, known.stem IS NOT NULL AS hit FROM o LEFT JOIN known ON o.bare = known.stem),
 pick AS (SELECT * FROM oo WHERE rank = 0 OR hit QUALIFY row_number() OVER (PARTITION BY word ORDER BY CASE WHEN hit THEN rank ELSE 9 END, rank) = 1)
 SELECT word, pick.bare AS stem, CASE WHEN noun_class > 0 THEN noun_class END::INTEGER AS noun_class, tense, obj_class::INTEGER AS obj_class, ext, is_negative, hit AS stem_known
-FROM best JOIN pick USING (word)"""
+FROM best JOIN pick USING (word)
+UNION ALL SELECT word, stem, NULL, 'NEG_IMPERATIVE', NULL, NULL, TRUE, TRUE FROM neg
+UNION ALL SELECT word, stem, CASE WHEN noun_class > 0 THEN noun_class END, tense, obj_class, ext, is_negative, TRUE FROM form"""
 
 
 @query("verb_parse", VERB_SQL)
@@ -167,6 +220,18 @@ def verb_parse(spark, sf):
     return lx.verbs(docs, stems)
 
 
+@query(
+    "paradigm_tags",
+    f"""WITH {VOCAB}, fstem AS (SELECT DISTINCT left(word, length(word) - 1) AS stem FROM bvocab WHERE length(word) > 1), {BASE_CTES}, {FORM_CTES}
+SELECT word, rank, is_negative, prefix, noun_class, marker, object, obj_class, stem, ext, final, place, tense, morphemes FROM fread""",
+)
+def paradigm_tags(spark, sf):
+    """Every reading of every word of ``documents`` as a generated form of the stems of ``benchmark``."""
+    docs, bench = vocabularies(spark, sf)
+    stems = bench.where(F.length("word") > 1).select(F.expr("left(word, length(word) - 1)").alias("stem"))
+    return verbforms.analyses(docs, stems)
+
+
 DEV_SQL = f"""WITH {VOCAB}, known AS (SELECT DISTINCT left(word, length(word) - 1) AS root FROM bvocab WHERE length(word) > 2),
 s AS (SELECT word AS stem, length(word) AS n, word[:-2] AS root FROM dvocab WHERE length(word) >= 3 AND regexp_matches(word, '[aeiou]$') AND word NOT IN {lst(fixed.PRIMARY_NOUN_STEMS)}),
 o AS (SELECT stem, 1 AS rank, root[:-2] || 'r' AS key, root[:-2] || 'r' AS cite FROM s WHERE ends_with(stem, 'ze') AND n >= 3
@@ -223,11 +288,11 @@ SUBJECTS = [("ba", 2), ("ki", 7), ("u", 3), ("n", 0)]
 TENSES = [("", "PRESENT_NORA", "a"), ("ra", "PRESENT", "a"), ("za", "FUTURE", "a"), ("", "PAST_PERF", "ye")]
 
 
-def seam_sql(expr: str, nine: str = "FALSE") -> str:
-    """The rule chain as one CTE step per rule, to keep each expression small."""
+def seam_sql(expr: str, nine: bool = False) -> str:
+    """The rule chain as nested replacements."""
     out = f"replace(translate(lower({expr}), '-', '|'), '0', '')"
     for when, rx, rep, times in fixed.SEAM_RULES:
-        if when == "9":
+        if when == ("!9" if nine else "9"):
             continue
         rep = rep.replace("$", "\\")
         for _ in range(times):
@@ -248,12 +313,30 @@ def paradigm_surface(spark, sf):
     return pg.expand_paradigms(stems, SUBJECTS, TENSES)
 
 
-JOIN_SQL = """CASE WHEN NOT (regexp_matches(prefix, '[aeiou]$') AND regexp_matches(stem, '^[aeiou]')) THEN prefix || stem
- WHEN ends_with(prefix, 'u') THEN CASE WHEN regexp_matches(prefix, '[kgh]u$') AND regexp_matches(stem, '^[ou]') THEN prefix[:-2] || stem ELSE prefix[:-2] || 'w' || stem END
- WHEN ends_with(prefix, 'ki') THEN CASE WHEN regexp_matches(stem, '^[ie]') THEN prefix[:-3] || 'k' || stem ELSE prefix[:-3] || 'cy' || stem END
- WHEN ends_with(prefix, 'ji') AND starts_with(stem, 'e') THEN prefix[:-3] || 'g' || stem
- WHEN ends_with(prefix, 'i') THEN prefix[:-2] || 'y' || stem
- WHEN NOT regexp_matches(prefix, '[yw].$') AND starts_with(stem, 'i') THEN prefix[:-2] || 'e' || stem[2:] ELSE prefix[:-2] || stem END"""
+NOUN_FORMS = [(c, n, f, p) for c, *_ in fixed.NOUN_CLASSES for n, f in (("singular", c), ("plural", dict(fixed.PLURAL_CLASSES).get(c))) for f2, p, *_ in fixed.NOUN_CLASSES if f == f2]
+NOUN_CTES = f"""{VOCAB}, nstem AS (SELECT DISTINCT left(word, length(word) - 1) AS stem FROM bvocab WHERE length(word) > 3),
+nform AS (SELECT stem, noun_class::INTEGER AS noun_class, number, form_class::INTEGER AS form_class, prefix || '|' || stem AS morphemes FROM nstem, {sq.values(NOUN_FORMS, 'noun_class, number, form_class, prefix')}),
+nsurf AS (SELECT *, {seam_sql('morphemes')} AS surface FROM nform WHERE form_class NOT IN (9, 10) UNION ALL SELECT *, {seam_sql('morphemes', True)} FROM nform WHERE form_class IN (9, 10))"""
+
+
+def noun_stems(bench):
+    """The words of ``benchmark`` without their last letter as stems of every class."""
+    classes = F.explode(F.array(*[F.lit(c) for c, *_ in fixed.NOUN_CLASSES])).alias("noun_class")
+    return bench.where(F.length("word") > 3).select(F.expr("left(word, length(word) - 1)").alias("stem")).distinct().select("stem", classes)
+
+
+@query("noun_paradigm", f"WITH {NOUN_CTES} SELECT * FROM nsurf")
+def noun_paradigm(spark, sf):
+    return pg.expand_nouns(noun_stems(vocabularies(spark, sf)[1]))
+
+
+@query("noun_forms", f"WITH {NOUN_CTES} SELECT word, stem, noun_class, number, form_class, morphemes FROM dvocab JOIN nsurf ON word = surface")
+def noun_forms(spark, sf):
+    """The words of ``documents`` that are generated noun forms."""
+    docs, bench = vocabularies(spark, sf)
+    return pg.noun_forms(docs, noun_stems(bench))
+
+
 JOIN_PREFIXES = ["ba", "mu", "ku", "ki", "bi", "ya", "n", "tu", "ka"]
 
 

@@ -25,6 +25,9 @@ NOUN_CLASSES = [
     (16, "aha", "ha", "ha", "ha", "ha"),
 ]
 
+# Singular classes and the class of their plural.
+PLURAL_CLASSES = [(1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (11, 10), (12, 13), (14, 6)]
+
 # Elided connectors and the class they stand for.
 ELIDED_CONNECTORS = [
     ("rw", 11), ("bw", 14), ("cy", 7), ("ry", 5), ("by", 8), ("tw", 13), ("y", 9), ("w", 1), ("b", 2),
@@ -142,6 +145,43 @@ TENSE_PATTERNS = [
     ("PRESENT_NORA", "!ara", "^(.+)[ao]$", "last"),
 ]
 
+# Subject prefixes that only arise from contact with what follows; forms are generated from the others.
+CONTACT_PREFIXES = [
+    "ara", "nda", "ndi", "bw", "rw", "tw", "mw", "cy", "by", "biy", "ry", "zy", "zu", "mb", "mp", "mf", "mv", "w", "y", "b",
+]
+
+# Prefixes after which a stem in y with final e is a past perfect, not a subjunctive.
+Y_PAST_PREFIXES = [
+    "twa", "ya", "wa", "na", "bya", "cya", "rya", "zya", "bwa", "kwa", "rwa", "mwa", "za", "ba", "mu", "tu", "a", "ni", "ri", "zi",
+    "bi", "ki", "ru", "ka", "bu", "ku", "ha",
+]
+
+# Tenses as slots, in order of preference: tense, marker, final, tense with a place suffix ("" none),
+# prefixes ("past" only the past ones, "!past" all others).
+TENSE_SLOTS = [
+    ("PRESENT", "ra", "a", "PRESENT", ""),
+    ("FUTURE", "za", "a", "FUTURE", ""),
+    ("FUTURE_SUBJ", "za", "e", "FUTURE_SUBJ_LOC", ""),
+    ("NARRATIVE_SUBJ", "ka", "e", "", ""),
+    ("NARRATIVE", "ka", "a", "", ""),
+    ("NARRATIVE", "ga", "a", "", ""),
+    ("OPTATIVE", "raka", "a", "", ""),
+    ("PAST_IMPF", "", "aga", "", ""),
+    ("PAST_PERF", "", "ye", "PAST_PERF_LOC", ""),
+    ("PAST_PERF", "ra", "ye", "", ""),
+    ("SUBJUNCTIVE", "", "e", "SUBJUNCTIVE_LOC", "!past"),
+    ("NEG_ANTERIOR", "tara", "a", "", ""),
+    ("NEG_RELATIVE", "ta", "a", "", ""),
+    ("CONDITIONAL", "", "a", "", "past"),
+    ("PRESENT_NORA", "", "a", "PRESENT_NORA", "!past"),
+]
+# How a final is written after the stem, by the stem's end; "ye" itself fuses with it (seam rules).
+FINAL_FORMS = [
+    ("a", "a", ""), ("e", "e", ""), ("aga", "aga", ""), ("ye", "ye", ""), ("ye", "iye", "[^aeiou]$"),
+    ("ye", "uye", "[^aeiouz]$"), ("ye", "ije", "sh$"),
+]
+PLACE_SUFFIXES = ["ho", "mo", "yo"]
+
 # Verb extensions, in match order (ending, name).
 EXTENSIONS = [
     ("ish", "CAUSATIVE"), ("esh", "CAUSATIVE"), ("ir", "APPLICATIVE"), ("er", "APPLICATIVE"), ("ey", "APPLICATIVE"),
