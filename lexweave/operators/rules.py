@@ -612,9 +612,9 @@ def retag(
     """
     t = with_role(t)
     w, o = _window(ids), over(ids)
-    dim = noun_stems if isinstance(noun_stems, DataFrame) else _stem_table(t, noun_stems)
     columns = t.columns
-    t = t.join(bounded(dim.select(F.col("lower"), "stem_class")), "lower", "left")
+    dim = bounded(noun_stems.select("lower", "stem_class")) if isinstance(noun_stems, DataFrame) else _stem_table(t, noun_stems)
+    t = t.join(dim, "lower", "left")
     stem_class = F.col("stem_class")
 
     def as_noun(s: DataFrame, when: Column) -> DataFrame:

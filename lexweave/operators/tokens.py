@@ -40,21 +40,42 @@ def tokenize(s: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
 
     ``punct_type`` is null for words. A straight quote has type ``QUOTE`` until ``quote_direction``.
     """
-    at, raw = F.col("_at"), F.col("_raw")
     rows = s.select(*ids, "sent_no", F.posexplode(tx.token_strings(F.col("text"))).alias("_at", "_raw"))
-    after_apostrophe = (F.length(raw) > 1) & (raw.startswith("'") | raw.startswith("’"))
-    surface = F.when(after_apostrophe, F.ltrim(raw, F.lit("'’"))).otherwise(raw)
+    return _typed(rows, F.col("_raw"), ids)
+
+
+def _surface(raw: Column) -> Column:
+    return F.when(raw == tx.CLOSING, "’").when(_after_apostrophe(raw), F.ltrim(raw, F.lit("'’"))).otherwise(raw)
+
+
+def _after_apostrophe(raw: Column) -> Column:
+    return (F.length(raw) > 1) & (raw.startswith("'") | raw.startswith("’"))
+
+
+def _typed(rows: DataFrame, raw: Column, ids: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     rows = rows.select(
         *ids,
         "sent_no",
-        (at + 1).cast("int").alias("tok_no"),
-        F.when(raw == tx.CLOSING, "’").otherwise(surface).alias("surface"),
+        (F.col("_at") + 1).cast("int").alias("tok_no"),
+        _surface(raw).alias("surface"),
         F.when(raw == tx.CLOSING, "QUOTE_CLOSE").otherwise(tx.mark_type(raw)).alias("punct_type"),
-        after_apostrophe.alias("preceded_by_apostrophe"),
+        _after_apostrophe(raw).alias("preceded_by_apostrophe"),
+        *more,
     )
     return rows.withColumn("lower", tx.fold(F.col("surface")))
 
 
+def tokenize_with(s: DataFrame, lookup: str, out: str, ids: Sequence[str] = IDS) -> DataFrame:
+    """P3 with ``out``: what the map column ``lookup`` of the sentence has for the token's ``lower``.
+
+    The map is read inside the sentence's row, before its tokens become rows, so no token is shuffled or joined.
+    """
+    raws = tx.token_strings(F.col("text"))
+    both = F.transform(raws, lambda r: F.struct(r.alias("raw"), F.element_at(F.col(lookup), tx.fold(_surface(r))).alias("found")))
+    rows = s.select(*ids, "sent_no", F.posexplode(both).alias("_at", "_t")).withColumn(out, F.col("_t.found"))
+    return _typed(rows, F.col("_t.raw"), ids, [out])
+
+
 def split_fused(s: DataFrame, forms: list[str], text: str = "text") -> DataFrame:
     """P5. Cut known forms glued to the next word, before tokenising."""
     return s.withColumn(text, tx.split_fused(F.col(text), forms))
@@ -130,7 +151,12 @@ def tokens(df: DataFrame, text: str = "text", ids: Sequence[str] = IDS, fused: l
     s = sentences(cluster(df, *ids), text, ids)
     if fused:
         s = split_fused(s, fused)
-    return boundary_flags(proper_flags(quote_direction(tokenize(s, ids), ids), ids), ids)
+    return flagged(tokenize(s, ids), ids)
+
+
+def flagged(t: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
+    """Tokens of ``tokenize`` with directed quotes, name flags and boundary flags."""
+    return boundary_flags(proper_flags(quote_direction(t, ids), ids), ids)
 
 
 def content(column: Column) -> Column:

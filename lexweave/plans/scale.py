@@ -7,10 +7,13 @@ word) goes through one of these instead of a plain window or ``percentile``:
 * ``exact_quantile`` – exact interpolated quantile per key; a task sees only the values near the rank
 * ``scan``           – lag/lead/running sums along a long series cut into bounded bins
 * ``bounded``        – a broadcast hint only after the row count was checked
+* ``stored``         – a table that is used several times, written once to the shared folder
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,19 +61,28 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names; used between rounds of iterative jobs."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            import tempfile
+_LOCAL: dict[str, str] = {}
 
-            shared = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="lexweave-")
+    return _LOCAL[context.applicationId]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what is used several times is computed once, and a lost
+    executor takes nothing along."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def salted_join(

@@ -180,8 +180,8 @@ BASE_CTES = """vbase AS (SELECT word, CASE WHEN regexp_matches(word, '^nt[aiu].'
 b AS (SELECT word, cut > 0 AS is_negative, substr(word, cut + 1) AS base FROM vbase WHERE length(word) - cut >= 3)"""
 
 OM_FORMS = [(f, c) for f, _, c in fixed.OBJECT_MARKERS] + [(v, c) for f, v, c in fixed.OBJECT_MARKERS if v != f]
-VERB_SQL = f"""WITH {VOCAB}, known AS (SELECT DISTINCT left(word, length(word) - 1) AS stem FROM bvocab WHERE length(word) > 1),
-fstem AS (SELECT stem FROM known WHERE stem <> ''), {BASE_CTES}, {FORM_CTES},
+#: Reads ``dvocab(word)`` and ``known(stem)``.
+VERB_BODY = f"""fstem AS (SELECT stem FROM known WHERE stem <> ''), {BASE_CTES}, {FORM_CTES},
 neg AS (SELECT word, stem FROM (SELECT word, o1, substr(word, length(x) + 1, length(word) - length(x) - 1) AS stem FROM b, (SELECT unnest(['mwi', 'twi', 'wi']) AS x, unnest([0, 1, 2]) AS o1) WHERE starts_with(word, x) AND ends_with(word, 'a'))
  SEMI JOIN known USING (stem) QUALIFY row_number() OVER (PARTITION BY word ORDER BY o1) = 1),
 form AS (SELECT * FROM fread ANTI JOIN neg USING (word) WHERE rank = 1),
@@ -205,13 +205,17 @@ o AS (SELECT word, 0 AS rank, stem AS bare, NULL AS obj_class, NULL AS ext FROM
  UNION ALL SELECT word, 2, substr(stem, 1, length(stem) - length(e)), NULL, n FROM best JOIN ex USING (word) WHERE NOT known
  UNION ALL SELECT word, 3, substr(stem, length(f) + 1, length(stem) - length(f) - length(e)), c, n FROM best JOIN om USING (word) JOIN ex USING (word) WHERE NOT known AND length(stem) > length(f) + length(e)),
 oo AS (SELECT o.*, known.stem IS NOT NULL AS hit FROM o LEFT JOIN known ON o.bare = known.stem),
-pick AS (SELECT * FROM oo WHERE rank = 0 OR hit QUALIFY row_number() OVER (PARTITION BY word ORDER BY CASE WHEN hit THEN rank ELSE 9 END, rank) = 1)
-SELECT word, pick.bare AS stem, CASE WHEN noun_class > 0 THEN noun_class END::INTEGER AS noun_class, tense, obj_class::INTEGER AS obj_class, ext, is_negative, hit AS stem_known
+pick AS (SELECT * FROM oo WHERE rank = 0 OR hit QUALIFY row_number() OVER (PARTITION BY word ORDER BY CASE WHEN hit THEN rank ELSE 9 END, rank) = 1)"""
+VERB_SELECT = """SELECT word, pick.bare AS stem, CASE WHEN noun_class > 0 THEN noun_class END::INTEGER AS noun_class, tense, obj_class::INTEGER AS obj_class, ext, is_negative, hit AS stem_known
 FROM best JOIN pick USING (word)
 UNION ALL SELECT word, stem, NULL, 'NEG_IMPERATIVE', NULL, NULL, TRUE, TRUE FROM neg
 UNION ALL SELECT word, stem, CASE WHEN noun_class > 0 THEN noun_class END, tense, obj_class, ext, is_negative, TRUE FROM form"""
 
 
+VERB_SQL = f"""WITH {VOCAB}, known AS (SELECT DISTINCT left(word, length(word) - 1) AS stem FROM bvocab WHERE length(word) > 1), {VERB_BODY}
+{VERB_SELECT}"""
+
+
 @query("verb_parse", VERB_SQL)
 def verb_parse(spark, sf):
     """Known stems: the words of ``benchmark`` without their last letter."""

@@ -15,8 +15,8 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = 8, app: str = "lexweave") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
+def local_session(cores: int | str = 8, app: str = "lexweave", shared: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and the bench; ``shared`` is its folder for written intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -24,6 +24,8 @@ def local_session(cores: int | str = 8, app: str = "lexweave") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("LEXWEAVE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
