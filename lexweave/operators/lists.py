@@ -10,22 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import marks as mk
 from lexweave.operators.series import cap_per_group
-from lexweave.plans.scale import BROADCAST_ROWS, salted_join, scan
-
-ID_BLOCK = 1 << 16  # rows numbered inside one window when ids run over a whole list
-
-
-def running_id(df: DataFrame, major: str, minor: str, out: str = "id", block: int = ID_BLOCK) -> DataFrame:
-    """Number all rows from 1 in the order of two integers, without one window over the whole table.
-
-    The order is cut into blocks; rows are numbered inside a block and shifted by the sizes of the blocks
-    before it, so only one row per block meets in a task.
-    """
-    s = df.withColumn("_all", F.lit(1)).withColumn(
-        "_bin", F.col(major).cast("bigint") * (1 << 45) + F.floor(F.col(minor) / block)
-    )
-    return scan(s, ["_all"], "_bin", [major, minor], running={out: F.lit(1)}).drop("_all", "_bin")
-
+from lexweave.plans.scale import BROADCAST_ROWS, numbered, salted_join
 
 def build_wordlist(sources: Sequence[DataFrame]) -> DataFrame:
     """U1. One list from sources in priority order: the first (plain, meaning) wins, ids run in list order.
@@ -38,7 +23,7 @@ def build_wordlist(sources: Sequence[DataFrame]) -> DataFrame:
         F.min(F.struct("prio", "ord")).alias("_at"), F.min_by("source", F.struct("prio", "ord")).alias("source")
     )
     flat = first.select("plain", "meaning", "source", F.col("_at.prio").alias("prio"), F.col("_at.ord").alias("ord"))
-    return running_id(flat, "prio", "ord").select("id", "plain", "meaning", "source")
+    return numbered(flat, "prio", "ord").select("id", "plain", "meaning", "source")
 
 
 ANNOTATIONS = ["your_marking", "heard", "recording", "notes"]
@@ -91,23 +76,19 @@ def documented_union(families: DataFrame, words: DataFrame, pairs: DataFrame) ->
         F.min("ord").alias("ord"), F.min_by("category", "ord").alias("category")
     )
     parts = [d.select(F.lit(i).alias("prio"), "ord", "marked", "category") for i, d in enumerate((families, fresh, pairs), 1)]
-    return running_id(reduce(DataFrame.unionByName, parts), "prio", "ord").select("id", "marked", "category")
+    return numbered(reduce(DataFrame.unionByName, parts), "prio", "ord").select("id", "marked", "category")
 
 
 def minimal_pairs(words: DataFrame) -> DataFrame:
-    """J17. Spellings with more than one marking or meaning: every variant with the next one in order.
+    """J17. Spellings with more than one marking or meaning: ``plain, variants, ways``, all ways of one spelling in one row.
 
-    Variants are made distinct first, so a group is the few ways one spelling is marked; each is linked to
-    its neighbour instead of to all others.
+    Variants are made distinct before they are gathered, so a row holds the few ways one spelling is marked and meant, in
+    order; any two of them are a pair.
     """
     variants = words.select("plain", "marked", "meaning").distinct()
-    w = Window.partitionBy("plain")
-    o = w.orderBy("marked", "meaning")
-    s = variants.select(
-        "*", F.count(F.lit(1)).over(w).alias("variants"), F.lead("marked").over(o).alias("other"),
-        F.lead("meaning").over(o).alias("other_meaning"),
-    )
-    return s.where((F.col("variants") > 1) & F.col("other").isNotNull())
+    ways = F.array_sort(F.collect_list(F.struct("marked", "meaning")))
+    out = variants.groupBy("plain").agg(F.count(F.lit(1)).alias("variants"), ways.alias("ways"))
+    return out.where("variants > 1")
 
 
 def word_status(documented: DataFrame, anchors: DataFrame, takes: DataFrame) -> DataFrame:

@@ -168,21 +168,29 @@ def first_split(plain_word: Column) -> Column:
     return F.size(vowel_letters(prefix))
 
 
+def before_hyphen(word: Column) -> Column:
+    """Number of vowels before the first hyphen."""
+    return F.size(vowel_letters(plain(F.regexp_extract(word, "^([^-]*)-", 1))))
+
+
 def transfer(pairs: DataFrame, reference: str = "reference", target: str = "target", out: str = "marking") -> DataFrame:
     """J19. The reference's vowel patterns on the target's vowels, lined up from the right edge.
 
-    A hyphen in the target lines up stems at their first vowel instead. If the target shows long vowels its
+    A hyphen in the target lines up stems at their first vowel instead; the reference's stem then begins at its own hyphen,
+    or after its longest prefix. If the target shows long vowels its
     lengths are kept and only tone is taken; otherwise lengths come along. Then the length rules hold.
     """
     ref, tgt = F.replace(F.col(reference), F.lit("-"), F.lit("")), F.replace(F.col(target), F.lit("-"), F.lit(""))
     p = pairs.select(
         "*", moras(ref).alias("_r"), moras(tgt).alias("_t"), plain(tgt).alias("_p"), plain(ref).alias("_rp"),
         F.col(target).contains("-").alias("_hyphen"),
-        F.size(vowel_letters(plain(F.regexp_extract(F.col(target), "^([^-]*)-", 1)))).alias("_tpre"),
+        before_hyphen(F.col(target)).alias("_tpre"), before_hyphen(F.col(reference)).alias("_rpre"),
+        F.col(reference).contains("-").alias("_rhyphen"),
     )
     nr, nt = F.size("_r"), F.size("_t")
     k = F.least(nr, nt)
-    r0 = F.when(F.col("_hyphen"), first_split(F.col("_rp"))).otherwise(nr - k)
+    stem = F.when(F.col("_rhyphen"), F.col("_rpre")).otherwise(first_split(F.col("_rp")))
+    r0 = F.when(F.col("_hyphen"), stem).otherwise(nr - k)
     t0 = F.when(F.col("_hyphen"), F.col("_tpre")).otherwise(nt - k)
     p = p.select(
         "*", r0.alias("_r0"), t0.alias("_t0"), F.exists("_t", lambda m: F.length(m) == 2).alias("_own"),
@@ -201,7 +209,7 @@ def transfer(pairs: DataFrame, reference: str = "reference", target: str = "targ
     taken = F.zip_with("_t", F.transform("_t", counterpart), take)
     p = p.withColumn("_m", F.zip_with(taken, "_rules", obey))
     return p.withColumn(out, write(F.col("_p"), F.col("_m"))).drop(
-        "_r", "_t", "_p", "_rp", "_hyphen", "_tpre", "_r0", "_t0", "_own", "_rules", "_m"
+        "_r", "_t", "_p", "_rp", "_hyphen", "_tpre", "_rpre", "_rhyphen", "_r0", "_t0", "_own", "_rules", "_m"
     )
 
 

@@ -7,6 +7,7 @@ word) goes through one of these instead of a plain window or ``percentile``:
 * ``exact_quantile`` – exact interpolated quantile per key; a task sees only the values near the rank
 * ``scan``           – lag/lead/running sums along a long series cut into bounded bins
 * ``bounded``        – a broadcast hint only after the row count was checked
+* ``numbered``       – a running number over a whole table without one window over it
 * ``stored``         – a table that is used several times, written once to the shared folder
 """
 
@@ -85,6 +86,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str, out: str = "id") -> DataFrame:
+    """All rows numbered from 1 in the order of ``order``, which holds no ties.
+
+    Ranges of the order are sorted apart and written with their place; a row is shifted by the rows of the ranges before its
+    own. Only one count per range meets anywhere, however sparse or dense the order is.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = stored(ranges.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()}), "numbered")
+    bases, before = [], 0
+    for r in ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), F.min("_n").alias("first")).orderBy("_part").collect():
+        bases.append((r["_part"], before - r["first"] + 1))
+        before += r["rows"]
+    shifts = local_table(df.sparkSession, bases or [(0, 0)], "_part int, _base bigint")
+    return ranges.join(shifts, "_part").withColumn(out, F.col("_n") + F.col("_base")).drop("_part", "_n", "_base")
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:

@@ -346,14 +346,13 @@ JOIN_PREFIXES = ["ba", "mu", "ku", "ki", "bi", "ya", "n", "tu", "ka"]
 
 @query(
     "vowel_join",
-    f"""WITH {VOCAB}, c AS (SELECT prefix, word AS stem FROM dvocab, {sq.values([(p,) for p in JOIN_PREFIXES], 'prefix')} WHERE regexp_matches(word, '^[a-z]'))
+    f"""WITH {VOCAB}, c AS (SELECT prefix, word AS stem FROM dvocab, {sq.values([(p,) for p in JOIN_PREFIXES], 'prefix')})
 SELECT prefix, stem, {JOIN_SQL} AS surface FROM c""",
 )
 def vowel_join(spark, sf):
     docs, _ = vocabularies(spark, sf)
     prefixes = F.explode(F.array(*[F.lit(p) for p in JOIN_PREFIXES])).alias("prefix")
-    pairs = docs.where(F.col("word").rlike("^[a-z]")).select(prefixes, F.col("word").alias("stem"))
-    return pg.join_pairs(pairs)
+    return pg.join_pairs(docs.select(prefixes, F.col("word").alias("stem")))
 
 
 @query(

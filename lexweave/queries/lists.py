@@ -15,7 +15,7 @@ from lexweave.queries.text_core import VOCAB, vocabularies
 from lexweave.queries.vocab import vocabulary
 from lexweave.sources import tables as tb
 
-WORD = "regexp_extract_all(lower(text), '[a-z]+')"
+WORD = r"regexp_extract_all(lower(text), '\p{L}+')"
 SOURCES = f"""w1 AS (SELECT item_id * 100000 + unnest(range(1, len(l) + 1)) AS ord, unnest(l) AS plain FROM (SELECT item_id, {WORD} AS l FROM benchmark)),
 w2 AS (SELECT (conv_id * 1000 + turn) * 100000 + unnest(range(1, len(l) + 1)) AS ord, unnest(l) AS plain, role FROM (SELECT conv_id, turn, role, {WORD} AS l FROM conversations)),
 src AS (SELECT 1 AS prio, ord, plain, CASE WHEN length(plain) % 2 = 0 THEN 'even' ELSE '' END AS meaning, 'benchmark (words)' AS source FROM w1
@@ -25,7 +25,7 @@ wordlist AS (SELECT row_number() OVER (ORDER BY prio, ord) AS id, plain, meaning
 
 
 def sources(spark, sf):
-    letters = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     b = spread(table(spark, sf, "benchmark", "item_id", "text")).select(
         "item_id", F.posexplode(letters).alias("p", "plain")
     )
@@ -50,7 +50,7 @@ def build_wordlist(spark, sf):
     return li.build_wordlist(sources(spark, sf))
 
 
-OLD = """old AS (SELECT plain, meaning, (id * 7)::VARCHAR || CASE WHEN id % 3 = 1 THEN '-2' ELSE '' END AS id, 'm' || id AS your_marking, CASE WHEN id % 2 = 0 THEN 'h' ELSE '' END AS heard, 'r' || id AS recording, '' AS notes FROM wordlist WHERE length(plain) > 4)"""
+OLD = """old AS (SELECT plain, meaning, (id * 7)::VARCHAR || CASE WHEN id % 3 = 1 THEN '-2' ELSE '' END AS id, 'm' || id AS your_marking, CASE WHEN id % 2 = 0 THEN 'h' ELSE '' END AS heard, 'r' || id AS recording, '' AS notes FROM wordlist)"""
 
 
 @query(
@@ -60,10 +60,10 @@ SELECT n.id::VARCHAR AS id, n.plain, n.meaning, n.source, coalesce(b.your_markin
 UNION ALL SELECT n.id || '-2', n.plain, n.meaning, n.source, w.your_marking, w.heard, w.recording, w.notes FROM wordlist n JOIN w USING (plain, meaning)""",
 )
 def merge_annotations(spark, sf):
-    """The list rebuilt over an older one: annotated words of five letters or more, a third as second ways."""
+    """The list rebuilt over an older one: every word annotated, a third as second ways."""
     new = li.build_wordlist(sources(spark, sf))
     text = F.col("id").cast("string")
-    old = new.where(F.length("plain") > 4).select(
+    old = new.select(
         "plain", "meaning",
         F.concat((F.col("id") * 7).cast("string"), F.when(F.col("id") % 3 == 1, "-2").otherwise("")).alias("id"),
         F.concat(F.lit("m"), text).alias("your_marking"), F.when(F.col("id") % 2 == 0, "h").otherwise("").alias("heard"),
@@ -99,7 +99,7 @@ def recordings(spark, sf):
 @query(
     "documented_union",
     f"""WITH {SOURCES}, f AS (SELECT ord, plain AS marked, 'family' AS category FROM w1 WHERE length(plain) > 6), nw AS (SELECT ord, plain AS marked, 'word' AS category FROM w2),
-p AS (SELECT ord, plain AS marked, 'pair' AS category FROM w1 WHERE length(plain) = 6), fresh AS (SELECT min(ord) AS ord, marked, 'word' AS category FROM nw WHERE marked NOT IN (SELECT marked FROM f) GROUP BY marked),
+p AS (SELECT ord, plain AS marked, 'pair' AS category FROM w1 WHERE length(plain) <= 6), fresh AS (SELECT min(ord) AS ord, marked, 'word' AS category FROM nw WHERE marked NOT IN (SELECT marked FROM f) GROUP BY marked),
 u AS (SELECT 1 AS prio, * FROM f UNION ALL SELECT 2, * FROM fresh UNION ALL SELECT 3, * FROM p) SELECT row_number() OVER (ORDER BY prio, ord) AS id, marked, category FROM u""",
 )
 def documented_union(spark, sf):
@@ -109,22 +109,23 @@ def documented_union(spark, sf):
         return df.select("ord", F.col("plain").alias("marked"), F.lit(name).alias("category"))
 
     return li.documented_union(
-        part(b.where(F.length("plain") > 6), "family"), part(c, "word"), part(b.where(F.length("plain") == 6), "pair")
+        part(b.where(F.length("plain") > 6), "family"), part(c, "word"), part(b.where(F.length("plain") <= 6), "pair")
     )
 
 
 @query(
     "minimal_pairs",
     f"""WITH {MARKED}, v AS (SELECT DISTINCT plain, word AS marked, length(word)::VARCHAR AS meaning FROM mw),
-s AS (SELECT *, count(*) OVER (PARTITION BY plain) AS variants, lead(marked) OVER w AS other, lead(meaning) OVER w AS other_meaning FROM v WINDOW w AS (PARTITION BY plain ORDER BY marked, meaning))
-SELECT plain, marked, meaning, variants, other, other_meaning FROM s WHERE variants > 1 AND other IS NOT NULL""",
+s AS (SELECT plain, count(*) AS variants, string_agg(marked || '=' || meaning, '; ' ORDER BY marked, meaning) AS ways FROM v GROUP BY plain)
+SELECT plain, variants, ways FROM s WHERE variants > 1""",
 )
 def minimal_pairs(spark, sf):
     w = vocabulary(spark, sf).select(
         mk.plain(F.col("word")).alias("plain"), F.col("word").alias("marked"),
         F.length("word").cast("string").alias("meaning"),
     )
-    return li.minimal_pairs(w)
+    pairs = li.minimal_pairs(w)
+    return pairs.withColumn("ways", F.array_join(F.transform("ways", lambda x: F.concat(x["marked"], F.lit("="), x["meaning"])), "; "))
 
 
 @query(
@@ -266,7 +267,7 @@ def worklist(spark, sf):
 def clip_names(spark, sf):
     new = li.build_wordlist(sources(spark, sf))
     way = F.concat((F.col("id") * 7).cast("string"), F.when(F.col("id") % 3 == 1, "-2").otherwise(""))
-    old = new.where(F.length("plain") > 4).select("plain", way.alias("id"))
+    old = new.select("plain", way.alias("id"))
     return old.select("id", li.clip_name(F.col("id"), F.col("plain")).alias("name"))
 
 

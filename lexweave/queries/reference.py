@@ -11,6 +11,7 @@ from lexweave.plans.scale import salted_join, spread
 from lexweave.queries.base import query, table
 from lexweave.queries.text_core import VOCAB, vocabularies
 from lexweave.queries.vocab import V, vocabulary
+from lexweave.sources import fixed
 
 PATTERNS = ["L", "H", "LL", "HL", "LH", "HH"]
 
@@ -257,22 +258,33 @@ FIT = """CASE WHEN a IS NULL THEN replace(b, 'H', 'L') WHEN NOT own THEN a WHEN
 OBEY = """CASE WHEN n = 2 AND length(x) = 1 THEN x || 'L' WHEN n = 1 AND length(x) = 2 THEN CASE WHEN contains(x, 'H') THEN 'H' ELSE 'L' END ELSE x END"""
 
 
+def vowels_sql(word: str) -> str:
+    return f"length(regexp_replace({word}, '[^aeiou]', '', 'g'))"
+
+
+GUESSED = "CASE " + " ".join(
+    f"WHEN starts_with(rp, '{p}') AND length(rp) > {len(p)}{f" AND substr(rp, {len(p) + 1}, 1) <> 'y'" if p in ('in', 'im') else ''} THEN '{p}'" for p in fixed.SPLIT_PREFIXES
+) + " ELSE '' END"
+
+
 def transfer_cte(pairs: str) -> str:
-    """From ``pairs(id, reference, target)`` to ``done(id, marked)``; targets without hyphen."""
-    return f"""tp AS MATERIALIZED (SELECT id, {plain_sql('target')} AS plain, {moras_sql('reference')} AS r, {moras_sql('target')} AS t FROM {pairs}),
-tv AS (SELECT id, plain, r, t, {forced_sql('plain')} AS rules, len(list_filter(t, lambda y: length(y) = 2)) > 0 AS own FROM tp),
-te AS (SELECT id, plain, i, t[i] AS b, rules[i] AS n, own, CASE WHEN len(t) - i < len(r) THEN r[len(r) - (len(t) - i)] END AS a FROM tv, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)),
+    """From ``pairs(id, reference, target)`` to ``done(id, marked)``."""
+    bare = "replace({}, '-', '')"
+    return f"""tp AS MATERIALIZED (SELECT id, {plain_sql(bare.format('target'))} AS plain, {plain_sql(bare.format('reference'))} AS rp, {moras_sql(bare.format('reference'))} AS r, {moras_sql(bare.format('target'))} AS t,
+  CASE WHEN contains(target, '-') THEN {vowels_sql(plain_sql("split_part(target, '-', 1)"))} END AS tpre, CASE WHEN contains(reference, '-') THEN {vowels_sql(plain_sql("split_part(reference, '-', 1)"))} END AS rpre FROM {pairs}),
+tv AS (SELECT id, plain, r, t, {forced_sql('plain')} AS rules, len(list_filter(t, lambda y: length(y) = 2)) > 0 AS own, coalesce(tpre, len(t) - least(len(t), len(r))) AS t0,
+  CASE WHEN tpre IS NULL THEN len(r) - least(len(t), len(r)) ELSE coalesce(rpre, {vowels_sql(GUESSED)}) END AS r0 FROM tp),
+te AS (SELECT id, plain, i, t[i] AS b, rules[i] AS n, own, CASE WHEN i - 1 >= t0 AND i - 1 - t0 + r0 < len(r) THEN r[i - t0 + r0] END AS a FROM tv, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)),
 tf AS (SELECT *, {FIT} AS x FROM te), tg AS (SELECT id, plain, i, {OBEY} AS x FROM tf), th AS (SELECT id, plain, list(x ORDER BY i) AS m FROM tg GROUP BY ALL),
 {write_sql('th', 'id', 'plain', 'm', 'done')}"""
 
 
-FAMILY = f"""{MARKED}, fam AS (SELECT word, plain, m, right(plain, 2) AS family FROM mw WHERE len(m) > 0 AND NOT contains(word, '-')), refs AS (SELECT family, min(word) AS reference FROM fam GROUP BY family),
+FAMILY = f"""{MARKED}, fam AS (SELECT word, plain, m, right(plain, 2) AS family FROM mw WHERE len(m) > 0), refs AS (SELECT family, min(word) AS reference FROM fam GROUP BY family),
 bare AS (SELECT word, plain, list_transform(m, lambda x: replace(x, 'H', 'L')) AS m, family FROM fam)"""
 
 
 def family_words(spark, sf):
-    w = vocabulary(spark, sf).select("word").where(~F.col("word").contains("-"))
-    w = w.where(F.size(mk.moras(F.col("word"))) > 0)
+    w = vocabulary(spark, sf).select("word").where(F.size(mk.moras(F.col("word"))) > 0)
     members = w.select(F.col("word").alias("marked"), F.right(mk.plain(F.col("word")), F.lit(2)).alias("family"))
     return members, members.groupBy("family").agg(F.min("marked").alias("reference"))
 
@@ -292,7 +304,7 @@ def transfer(spark, sf):
     "family_accuracy",
     f"""WITH {FAMILY}, bt AS (SELECT word, family, m FROM bare), {write_sql('(SELECT b.word, b.plain, b.m FROM bare b)', 'word', 'plain', 'm', 'un')},
 pr AS (SELECT un.word AS id, reference, un.marked AS target FROM un JOIN fam USING (word) JOIN refs USING (family)), {transfer_cte('pr').replace('wl AS', 'wl2 AS').replace('FROM wl)', 'FROM wl2)').replace('wr AS', 'wr2 AS').replace('FROM wr ', 'FROM wr2 ')},
-ok AS (SELECT fam.family, {plain_sql('done.marked')} = {plain_sql('fam.word')} AND {moras_sql('done.marked')} = {moras_sql('fam.word')} AS ok FROM done JOIN fam ON fam.word = done.id)
+ok AS (SELECT fam.family, {plain_sql('done.marked')} = {plain_sql("replace(fam.word, '-', '')")} AND {moras_sql('done.marked')} = {moras_sql("replace(fam.word, '-', '')")} AS ok FROM done JOIN fam ON fam.word = done.id)
 SELECT family, count(*) AS n, count(*) FILTER (WHERE ok) AS reproduced, round(avg(ok::INT), 6) AS share FROM ok GROUP BY family""",
 )
 def family_accuracy(spark, sf):

@@ -340,7 +340,7 @@ h AS MATERIALIZED (SELECT l.* REPLACE (CASE WHEN chain.nth % 2 = 1 THEN 'RELATIV
 v AS (SELECT *, lead(pos) OVER w AS p1, lead(noun_class) OVER w AS c1, lead(pos, 2) OVER w AS p2, lead(noun_class, 2) OVER w AS c2 FROM h WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY tok_no)),
 r AS (SELECT v.*, CASE WHEN pos = 'VERB_CONJ' AND obj_class IS NOT NULL AND (coalesce(p1 = 'PRONOUN' AND c1 = obj_class, FALSE) OR ((coalesce(p1 = 'VERB_CONJ' AND c1 = obj_class, FALSE) OR coalesce(p2 = 'VERB_CONJ' AND c2 = obj_class, FALSE))
  AND NOT EXISTS (SELECT 1 FROM h k WHERE k.doc_id = v.doc_id AND k.sent_no = v.sent_no AND k.tok_no < v.tok_no AND k.pos = 'NOUN' AND k.noun_class = v.obj_class))) THEN 'VERBAL_NOUN' END AS gram_role FROM v)
-SELECT r.doc_id, r.sent_no, r.tok_no, r.pos, r.pron_type, r.noun_class::INTEGER AS noun_class, gram_role FROM r JOIN tagged t USING (doc_id, sent_no, tok_no) WHERE r.pos <> t.pos OR gram_role IS NOT NULL""",
+SELECT r.doc_id, r.sent_no, r.tok_no, r.pos, r.pron_type, r.noun_class::INTEGER AS noun_class, gram_role FROM r""",
 )
 def retag(spark, sf):
     """Known noun stems: words of five letters or more with two common beginnings or endings."""
@@ -349,11 +349,7 @@ def retag(spark, sf):
         (F.length("lower") >= 5) & (F.col("lower").startswith("the") | F.col("lower").endswith("ing"))
     )
     stems = words.select("lower", (F.length("lower") % 12 + 1).cast("int").alias("stem_class"))
-    out = ru.retag(t, stems, TABLES)
-    before = t.select("doc_id", "sent_no", "tok_no", F.col("pos").alias("was"))
-    j = out.join(before, ["doc_id", "sent_no", "tok_no"])
-    changed = (F.col("pos") != F.col("was")) | F.col("gram_role").isNotNull()
-    return j.where(changed).select("doc_id", "sent_no", "tok_no", "pos", "pron_type", "noun_class", "gram_role")
+    return ru.retag(t, stems, TABLES).select("doc_id", "sent_no", "tok_no", "pos", "pron_type", "noun_class", "gram_role")
 
 
 @query("violations", f"WITH {ERRORS_CTE} SELECT doc_id, sent_no, type, count(*) AS n, min(tok_no) AS first_tok, max(corrected_word) AS corrected FROM errors GROUP BY ALL")
@@ -404,11 +400,10 @@ SEP = """CASE WHEN tok_no = first_tok THEN '' WHEN preceded_by_apostrophe THEN '
     "corrected_sentences",
     f"""WITH {ERRORS_CTE}, fix AS (SELECT doc_id, sent_no, tok_no, min(corrected_word) AS word FROM errors WHERE type IN ('SPELLING', 'ADJ_AGREEMENT') AND corrected_word <> '' GROUP BY ALL),
 u AS (SELECT t.*, coalesce(fix.word, t.surface) AS word, min(tok_no) OVER (PARTITION BY doc_id, sent_no) AS first_tok, fix.word IS NOT NULL AS fixed FROM tagged t LEFT JOIN fix USING (doc_id, sent_no, tok_no))
-SELECT doc_id, sent_no, string_agg({SEP} || word, '' ORDER BY tok_no) AS corrected FROM u GROUP BY doc_id, sent_no HAVING bool_or(fixed)""",
+SELECT doc_id, sent_no, string_agg({SEP} || word, '' ORDER BY tok_no) AS corrected, bool_or(fixed) AS changed FROM u GROUP BY doc_id, sent_no""",
 )
 def corrected_sentences(spark, sf):
-    out = rp.correct(sample_tokens(spark, sf), TABLES)
-    return out.where("changed").select("doc_id", "sent_no", "corrected")
+    return rp.correct(sample_tokens(spark, sf), TABLES)
 
 
 @query(

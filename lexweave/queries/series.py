@@ -52,13 +52,13 @@ def length_by_context(spark, sf):
 
 
 LETTERS = """le AS (SELECT conv_id * 1000 + turn AS clip_id, w.no AS word, (p - 1)::INTEGER AS pos, substr(w.w, p, 1) AS ch FROM conversations,
- LATERAL (SELECT unnest(l) AS w, unnest(range(0, len(l))) AS no FROM (SELECT list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]+', '', 'g'), '\\s+'), lambda x: x <> '') AS l)) w,
+ LATERAL (SELECT unnest(l) AS w, unnest(range(0, len(l))) AS no FROM (SELECT list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\s]+', '', 'g'), '\\s+'), lambda x: x <> '') AS l)) w,
  LATERAL (SELECT unnest(range(1, length(w.w) + 1)) AS p))"""
 
 
 def letters(spark, sf):
     c = spread(table(spark, sf, "conversations", "conv_id", "turn", "text"))
-    plain = F.regexp_replace(F.lower("text"), r"[^a-z\s]+", "")
+    plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]+", "")
     words = c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"),
         F.posexplode(F.filter(F.split(plain, r"\s+"), lambda w: w != "")).alias("word", "w"),

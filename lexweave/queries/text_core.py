@@ -166,12 +166,11 @@ def vocab_except(spark, sf):
  lead(CASE WHEN punct_type IS NULL THEN lower END IGNORE NULLS) OVER w AS next_word,
  coalesce(lag(punct_type) OVER w = 'COMMA', FALSE) AS preceded_by_comma, lead(punct_type) OVER w AS next_punct
  FROM tokens WINDOW w AS (PARTITION BY doc_id, sent_no ORDER BY tok_no))
-SELECT doc_id, sent_no, tok_no, lower, prev_lower, next_lower, prev_word, next_word, preceded_by_comma, next_punct FROM c
-WHERE punct_type IS NOT NULL OR preceded_by_comma""",
+SELECT doc_id, sent_no, tok_no, lower, prev_lower, next_lower, prev_word, next_word, preceded_by_comma, next_punct FROM c""",
 )
 def with_context(spark, sf):
     c = tk.with_context(tk.tokens(table(spark, sf, "documents", "doc_id", "text")))
-    return c.where(F.col("punct_type").isNotNull() | F.col("preceded_by_comma")).select(
+    return c.select(
         "doc_id", "sent_no", "tok_no", "lower", "prev_lower", "next_lower", "prev_word", "next_word",
         "preceded_by_comma", "next_punct",
     )

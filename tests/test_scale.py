@@ -81,9 +81,14 @@ def test_salted_join(skewed):
     assert scale.salted_join(df, some.select("k"), ["k"], "left_semi").count() == df.where("k < 10").count()
 
 
-def test_running_id(skewed):
+def test_numbered_dense_and_sparse(skewed):
     df, pdf = skewed
-    out = li.running_id(df.withColumn("major", (F.col("k") % 3).cast("int")).withColumn("minor", F.col("t").cast("long")), "major", "minor", block=512)
+    order = df.withColumn("major", (F.col("k") % 3).cast("int")).withColumn("minor", F.col("t").cast("long"))
+    sparse = scale.numbered(order.withColumn("minor", F.col("minor") * 1_000_003), "major", "minor")
+    assert sorted(r["id"] for r in sparse.select("id").collect()) == list(range(1, len(pdf) + 1))
+    assert "SinglePartition" not in sparse._jdf.queryExecution().toString()
+    assert scale.numbered(order.where("k < -1"), "major", "minor").count() == 0
+    out = scale.numbered(order, "major", "minor")
     rows = out.select("id", "major", "minor").orderBy("id").collect()
     assert [r["id"] for r in rows] == list(range(1, len(pdf) + 1))
     assert [(r["major"], r["minor"]) for r in rows] == sorted((r["major"], r["minor"]) for r in rows)

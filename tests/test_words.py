@@ -144,7 +144,8 @@ def test_marks(spark):
     assert mapping(out, "word", "f") == lengths
     rows = [
         ("umwâana", "guhinga", "guhíinga"), ("umwâana", "abana", "abáana"), ("umwaâmi", "umwami", "umwaámi"),
-        ("umwâana", "gu-hiingiisha", "guhíingiisha"),
+        ("umwâana", "gu-hiingiisha", "guhíingiisha"), ("umw-âana", "gu-hiingiisha", "guhíingiisha"),
+        ("nda-bôna", "gu-kina", "gukína"), ("ndabôna", "gu-kina", "gukiná"),
     ]
     df = spark.createDataFrame(rows, "reference string, target string, expected string")
     for r in mk.transfer(df).collect():
