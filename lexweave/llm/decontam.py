@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import batch_of, text_slices
+from lexweave.llm.common import batch_of, free_name, text_slices
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass holds; a larger benchmark takes more passes over the documents.
@@ -212,4 +212,5 @@ def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def clean(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Only documents in which no window occurs, with their own columns."""
-    return find(df, benchmark, found_column="_found", **options).where(F.size("_found.spans") == 0).drop("_found")
+    found = free_name(df, "_found")
+    return find(df, benchmark, found_column=found, **options).where(F.size(f"{found}.spans") == 0).drop(found)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import batch_of, text_slices, written
+from lexweave.llm.common import batch_of, free_name, text_slices, written
 
 #: Words of the shortest block that is deleted.
 BLOCK_WORDS = 10
@@ -224,17 +224,22 @@ def deletions(rows: DataFrame, least: int = BLOCK_WORDS, often: int = FREQUENT)
     return gone.groupBy("doc", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
 
 
-def dedup_lines(df: DataFrame, least: int = BLOCK_WORDS, id_column: str = "doc_id", text_column: str = "text", often: int = FREQUENT) -> DataFrame:
-    """All rows and columns, the text without the lines deleted, and ``_removed``, their numbers from 0 (null: none).
+def dedup_lines(
+    df: DataFrame, least: int = BLOCK_WORDS, id_column: str = "doc_id", text_column: str = "text", often: int = FREQUENT, removed_column: str = "_removed"
+) -> DataFrame:
+    """All rows and columns, the text without the lines deleted, and ``removed_column``, their numbers from 0 (null: none).
 
     A null or empty text stays as it is. Blank lines stay unless all other lines of a document go; then the text is empty.
+    Other columns may have any names but that of ``removed_column``.
     """
-    names = df.columns
-    keyed = df.withColumn("_doc", F.col(id_column).cast("long")).withColumn("_key", F.xxhash64(text_column))
-    gone = deletions(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("text_hash"), F.col(text_column).alias("text")), least, often)
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_key"), F.col("numbers").alias("_removed"))
-    lines = F.split(F.col(text_column), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed"), lambda i: F.get(lines, i))
+    if free_name(df, removed_column) != removed_column:
+        raise ValueError(f"there is a column {removed_column} already: name another removed_column")
+    source = df.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("doc"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    gone = deletions(source.select("doc", "text_hash", "text"), least, often)
+    lines = F.split(F.col("text"), "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "numbers"), lambda i: F.get(lines, i))
     left = F.array_join(kept, "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_column)).otherwise(F.when(F.trim(F.regexp_replace(left, r"\s+", " ")) == "", F.lit("")).otherwise(left))
-    return keyed.join(gone, ["_doc", "_key"], "left").withColumn(text_column, text).select(*names, "_removed")
+    blank = F.trim(F.regexp_replace(left, r"\s+", " ")) == ""
+    text = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(F.when(blank, F.lit("")).otherwise(left))
+    columns = [text.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in df.columns]
+    return source.join(gone, ["doc", "text_hash"], "left").select(*columns, F.col("numbers").alias(removed_column))

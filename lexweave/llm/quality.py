@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.llm import boosting
-from lexweave.llm.common import text_slices, texts
+from lexweave.llm.common import free_name, text_slices, texts
 
 #: Labelled rows that a fit may see, at most.
 SAMPLE = 12_000
@@ -100,4 +100,5 @@ def digests(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of at least ``threshold``, with their own columns."""
-    return score(docs, fit(docs, labels), score_column="_score").where(F.col("_score") >= threshold).drop("_score")
+    own = free_name(docs, "_score")
+    return score(docs, fit(docs, labels), score_column=own).where(F.col(own) >= threshold).drop(own)

@@ -229,7 +229,7 @@ def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """One row of each component, with its own columns: that of the smallest id, of several of this id one text, once."""
     rows = _named(df, id_column, text_column, width, most)
     leaders = rows.where("id <=> component_id").groupBy("component").agg(F.min("component_id").alias("_id"), F.min("text_hash").alias("_hash"))
-    keyed = df.withColumn("_id", F.col(id_column).cast("long")).withColumn("_hash", F.xxhash64(text_column))
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_hash"))
     leaders = leaders.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"))
     kept = keyed.join(leaders, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(*df.columns)
+    return kept.dropDuplicates(["_id", "_hash"]).select("row.*")

@@ -42,7 +42,7 @@ def test_near_copies_against_brute_force(spark, make_docs, monkeypatch):
                 x, y = simhash.fingerprints([dict(docs)[i], dict(docs)[j]])
                 many_bits += int(x ^ y).bit_count() > 3
     assert many_bits > 20
-    got = corpus_pipeline.near_duplicate_stage(spark, make_docs(docs), "").collect()
+    got = similar.keep_first(make_docs(docs)).collect()
     assert sorted(r.doc_id for r in got) == sorted(set(root.values()))
     monkeypatch.setattr(similar, "LISTED", 1)  # every bucket by its tree
     assert sorted(r.doc_id for r in similar.keep_first(make_docs(docs)).collect()) == sorted(set(root.values()))
@@ -60,3 +60,31 @@ def test_large_buckets_connect_like_listed_ones(monkeypatch):
         assert (group[a] == group[b]).all() and (similar._far(checks, a, b) <= similar.NEAR).all()
         found.append((len(a), int(similar._far(checks, a, b).sum())))
     assert found[0] == found[1]
+
+
+def test_near_copies_through_the_chained_stages(spark, tmp_path):
+    """Documents of many lines with near copies: line dedup and then the near-dedup stage leave one of each group."""
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    line = lambda: " ".join(rnd.choices(words, k=rnd.randint(8, 16)))
+    rows, groups = [], []
+    for k in range(25):
+        lines = [line() for _ in range(30)]
+        rows.append((3 * k, "\n".join(lines)))
+        for n in (1, 2):
+            copy = list(lines)
+            for at in rnd.sample(range(30), n):
+                words_of = copy[at].split()
+                words_of[rnd.randrange(len(words_of))] = rnd.choice(words)
+                copy[at] = " ".join(words_of)
+            rows.append((3 * k + n, "\n".join(copy)))
+        groups.append({3 * k, 3 * k + 1, 3 * k + 2})
+    rows += [(200 + k, "\n".join(line() for _ in range(10))) for k in range(20)]
+    data = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cut = corpus_pipeline.written(corpus_pipeline.line_stage(spark, docs, str(tmp_path)), "cut")
+    assert sum(r.n_chars for r in cut.collect()) < sum(len(t) for _, t in rows) / 2
+    left = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, cut, str(tmp_path)).collect()}
+    caught = sum(len(g - left) for g in groups)
+    assert caught >= 0.9 * 50 and all(min(g) in left for g in groups) and {200 + k for k in range(20)} <= left
