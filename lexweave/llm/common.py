@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Pieces of text whose ids one Python worker keeps, and as many older ones.
 CHUNK_CACHE = 400_000
@@ -46,6 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that are broadcast at most, some 50 MB; beyond, the join shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of ids and hashes, broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

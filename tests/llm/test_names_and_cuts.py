@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lexweave.llm import decontam, linededup, quality, similar, simhash
+from lexweave.llm import common, decontam, linededup, quality, similar, simhash
 
 NAMES = ["_id", "_hash", "_id2", "_hash2", "_doc", "_key", "_found", "_score", "row", "doc", "text_hash", "numbers", "node", "Score"]
 
@@ -41,8 +41,11 @@ def test_other_operators_keep_columns(spark, named):
     assert good.columns == [n for n in named.columns if n != "Score"]
 
 
-def test_links_by_earlier_texts(spark):
-    """Near copies of which line dedup left a rest are linked by what they were."""
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_links_by_earlier_texts(spark, monkeypatch, rows):
+    """Near copies of which line dedup left a rest are linked by what they were, with and without broadcasts."""
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(2000)]
     line = lambda: " ".join(rnd.choices(words, k=12))
@@ -59,3 +62,5 @@ def test_links_by_earlier_texts(spark):
     assert kept(None) == {*range(30), *range(100, 130), 500, 501, None}
     assert kept(df([*before, (500, "another"), (900, before[0][1]), (None, before[2][1])])) == {*range(30), 500, 501, None}
     assert kept(df(before).where("doc_id < 0")) == kept(None)
+    twice = df([(1, line()), (1, line()), (2, line())])
+    assert similar.keep_first(twice, earlier=twice).count() == similar.keep_first(twice).count() == 3
