@@ -213,6 +213,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def drop_encoders() -> None:
+    """Gives back the memory of the pieces that a worker has kept, before it goes on to other work."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import batch_of, free_name, text_slices, written
+from lexweave.llm.common import batch_of, drop_encoders, free_name, text_slices, written
 
 #: Words of the shortest block that is deleted.
 BLOCK_WORDS = 10
@@ -150,6 +150,7 @@ def _runs(rows: DataFrame, least: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(line))])
 
     def run(batches):
+        drop_encoders()
         for batch in batches:
             for part in text_slices(batch):
                 docs, hashes_, keys, places, h, words, numbers, ends = [], [], [], [], [], [], [], [0]
