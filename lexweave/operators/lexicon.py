@@ -377,8 +377,7 @@ def gloss(t: DataFrame, verbs: DataFrame, nouns: DataFrame, words: DataFrame, mi
     v = first_hits(verbs, "key").select(F.col("key").alias("stem"), F.col("gloss").alias("_gv"))
     n = first_hits(nouns, "key").select(F.col("key").alias("stem"), F.col("gloss").alias("_gn"))
     w = first_hits(words, "key").select(F.col("key").alias("lower"), F.col("gloss").alias("_gw"))
-    j = t.join(F.broadcast(v), "stem", "left").join(F.broadcast(n), "stem", "left")
-    j = j.join(F.broadcast(w), "lower", "left")
+    j = t.join(bounded(v), "stem", "left").join(bounded(n), "stem", "left").join(bounded(w), "lower", "left")
     pos = F.col("pos")
     found = (
         F.when(pos.isin("VERB_CONJ", "VERB_INF"), F.col("_gv"))
