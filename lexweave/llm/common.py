@@ -114,49 +114,48 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.marks = dict(zip(",.", self._raw([",", "."])))
+        vocabulary = self.tokenizer.get_vocab()  # written with one letter a byte, space and newline as these two
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _plain(piece: str) -> bool:
         body = piece[1:] if piece[:1] == "\n" else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def _words(self, words: list[str], lead: str, parts: int) -> Iterator[bytes]:
-        """Ids of words of letters, each after ``lead``: the library splits each into so many ``parts``."""
+    def _joined(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of plain pieces, each with its space or newline in front, many encoded as one text.
+
+        Only the first byte of a piece is a space or newline, so its first id is the only one that begins with such a byte.
+        """
         size = self.dtype.itemsize
-        for group in slices(words, 1024):
-            found = self.tokenizer.encode(lead + lead.join(group), add_special_tokens=False)
-            raw = np.array(found.ids, dtype=self.dtype).tobytes()
-            word = np.array(found.word_ids) // parts
-            ends = ((np.flatnonzero(word[1:] != word[:-1]) + 1) * size).tolist()
-            yield from (raw[i:j] for i, j in zip([0, *ends], [*ends, len(raw)]))
+        groups = list(slices(pieces, 512))
+        for some in slices(groups, 16):
+            for group, found in zip(some, self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype=self.dtype)
+                at = np.flatnonzero(self.begins[ids])
+                if len(at) != len(group):  # the library has split otherwise: one by one
+                    yield from self._raw(group)
+                    continue
+                raw, ends = ids.tobytes(), [*(at * size).tolist(), len(ids) * size]
+                yield from (raw[i:j] for i, j in zip(ends, ends[1:]))
 
     def _learn(self, cache: dict[str, bytes], new: Iterable[str], lead: str) -> None:
         """Pieces that aren't plain get no ids: ``b""``, which no piece of a text has."""
-        words, tails, lines, plain = {}, [], [], []
+        plain = []
         for p in new:
-            if p.isalpha():
-                words[p] = None
-            elif p[:-1].isalpha() and p[-1] in ",.":  # a letter and a mark are never one token
-                tails.append(p)
-                if p[:-1] not in cache:
-                    words[p[:-1]] = None
-            elif p[:1] == "\n" and p[1:].isalpha():
-                lines.append(p)
+            if p[:-1].isalpha() and p[-1] in ",." and p[:-1] in cache:  # a letter and a mark are never one token
+                cache[p] = cache[p[:-1]] + self.marks[p[-1]]
             elif self._plain(p):
                 plain.append(p)
             else:
                 cache[p] = b""
-        if lead:
-            cache.update(zip(words, self._words(list(words), " ", 1)))
-        else:
-            cache.update(zip(words, self._raw(list(words))))
-        cache.update(zip(lines, self._words([p[1:] for p in lines], "\n", 2)))
-        cache.update(zip(plain, self._raw([p if p[0] == "\n" else lead + p for p in plain])))
-        cache.update([(p, cache[p[:-1]] + self.marks[p[-1]]) for p in tails])
+        led = [p if p[0] == "\n" else lead + p for p in plain]
+        cache.update(zip(plain, self._joined(led) if lead else self._raw(led)))
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         gc.disable()  # nothing here is cyclic, and a collection would go through all pieces kept
