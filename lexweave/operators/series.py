@@ -301,6 +301,16 @@ def consistency_report(c: DataFrame, top: int = 25) -> DataFrame:
     return c.orderBy(F.desc("n"), "w").limit(top)
 
 
+def consistency_overall(c: DataFrame) -> DataFrame:
+    """A13. The line above the report: the words of ``consistency`` and the means of their shares, each word counting once.
+
+    No words give no means. The chance level of shuffled vowels is left out: it depends on the random draw.
+    """
+    return c.agg(
+        F.count(F.lit(1)).alias("words"), F.round(F.avg("pitch_c"), 4).alias("pitch_c"), F.round(F.avg("length_c"), 4).alias("length_c")
+    )
+
+
 def mean_pattern(v: DataFrame, clip: Sequence[str] = ("clip_id",)) -> DataFrame:
     """A14. Mean centred pitch and mean length per word, number of vowels and place."""
     return occurrences(v, clip).groupBy("w", "vowels", "place").agg(

@@ -198,19 +198,28 @@ oc AS (SELECT vv.*, rate, row_number() OVER (PARTITION BY clip_id, word ORDER BY
 o AS (SELECT clip_id, word, w, place, vowels, pitch - centre AS pitch, dur / rate AS length FROM oc WHERE voiced = vowels)"""
 
 
-@query(
-    "consistency",
-    f"""WITH {OCC}, said AS (SELECT w, count(DISTINCT (clip_id, word)) AS said, arg_min(vowels, (clip_id, word)) AS fv FROM o GROUP BY w),
+CONSISTENCY = f"""WITH {OCC}, said AS (SELECT w, count(DISTINCT (clip_id, word)) AS said, arg_min(vowels, (clip_id, word)) AS fv FROM o GROUP BY w),
 k AS (SELECT o.*, said FROM o JOIN said USING (w) WHERE vowels = fv AND said >= 10 AND fv >= 2),
 per AS (SELECT w, place, var_pop(pitch) AS vp, var_pop(length) AS vl FROM k GROUP BY ALL), mv AS (SELECT w, avg(vp) AS vp, avg(vl) AS vl FROM per GROUP BY w),
 tot AS (SELECT w, max(said) AS said, count(DISTINCT (clip_id, word)) AS n, max(vowels) AS vowels, var_pop(pitch) AS tp, var_pop(length) AS tl FROM k GROUP BY w)
-SELECT w, said, n, vowels, round(CASE WHEN tp > 1e-12 THEN 1 - vp / tp ELSE 0 END, 6) AS pitch_c, round(CASE WHEN tl > 1e-12 THEN 1 - vl / tl ELSE 0 END, 6) AS length_c FROM tot JOIN mv USING (w) ORDER BY n DESC, w LIMIT 25""",
-)
+SELECT w, said, n, vowels, round(CASE WHEN tp > 1e-12 THEN 1 - vp / tp ELSE 0 END, 6) AS pitch_c, round(CASE WHEN tl > 1e-12 THEN 1 - vl / tl ELSE 0 END, 6) AS length_c FROM tot JOIN mv USING (w)"""
+
+
+@query("consistency", f"{CONSISTENCY} ORDER BY n DESC, w LIMIT 25")
 def consistency(spark, sf):
     """K4 on A13: the report of at most 25 words."""
     return sr.consistency_report(sr.consistency(vowels(spark, sf)))
 
 
+@query(
+    "consistency_overall",
+    f"SELECT count(*) AS words, round(avg(pitch_c), 4) AS pitch_c, round(avg(length_c), 4) AS length_c FROM ({CONSISTENCY})",
+)
+def consistency_overall(spark, sf):
+    """A13's means over all words said often enough, not only those of the report."""
+    return sr.consistency_overall(sr.consistency(vowels(spark, sf)))
+
+
 @query(
     "mean_pattern",
     f"WITH {OCC} SELECT w, vowels, place::INTEGER AS place, count(*) AS n, round(avg(pitch), 6) AS pitch, round(avg(length), 6) AS length FROM o GROUP BY w, vowels, place",

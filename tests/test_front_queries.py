@@ -28,3 +28,11 @@ def test_tokens_and_errors_are_whole(spark, folder):
     assert {"doc_id", "sent_no"} <= set(errors.columns)
     report = registry.QUERIES["validate_report"](spark, folder).collect()
     assert report and errors.count() > 0
+
+
+def test_overall_consistency_counts_each_word_once(spark):
+    from lexweave.operators.series import consistency_overall
+
+    rows = spark.createDataFrame([("a", 1000, 0.5, 0.2), ("b", 10, 0.0, 0.7), ("c", 10, 0.1, 0.0)], "w string, n long, pitch_c double, length_c double")
+    assert [tuple(r) for r in consistency_overall(rows).collect()] == [(3, 0.2, 0.3)]
+    assert [tuple(r) for r in consistency_overall(rows.where("n < 0")).collect()] == [(0, None, None)]
