@@ -20,10 +20,8 @@ from lexweave.llm.common import batch_of, encoder, text_slices, texts, written
 
 END_ID = 0
 CAPACITY = 2048
-#: Steps of the search for fillings before the best solution so far is taken.
+#: Steps of each search for fillings before the best solution so far is taken.
 STEPS = 200_000
-#: Up to so many pieces, each sequence is a branch of its own; beyond, a filling is repeated as often as it fits.
-EACH = 400
 #: Pieces of one length that one task ranks.
 RANKED = 2_000
 
@@ -143,61 +141,74 @@ def _fillings(counts: dict[int, int], longest: int, room: int, least: int, steps
 def solve(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Solution:
     """Bin completion: fill around the longest piece left, branch over fillings, cut branches by the waste they allow.
 
-    The best-fit solution is the first incumbent. Exact if the search ends within ``steps`` and there are at most ``EACH``
-    pieces; otherwise never worse than best fit.
+    Two searches, whatever the number of pieces: one repeats each filling as often as it fits, the other has each smaller
+    number of repeats as a branch too. The best-fit solution is the first incumbent. Exact if the second search ends within
+    ``steps``; otherwise never worse than best fit.
     """
     counts = {s: n for s, n in counts.items() if n}
     if any(s > capacity or s < 1 for s in counts):
         raise ValueError("a piece must have from 1 token to the capacity")
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
-    if bins(best) == bound:
-        return best
-    budget, total, number = [steps], sum(s * n for s, n in counts.items()), sum(counts.values())
-    stack: list[tuple[Iterator[list[int]], int]] = []
+    for fewer in (False, True):
+        if bins(best) > bound:
+            best = _search(dict(counts), capacity, steps, best, bound, fewer)
+    return best
+
+
+def _search(counts: dict[int, int], capacity: int, steps: int, best: Solution, bound: int, fewer: bool) -> Solution:
+    """The better of ``best`` and what is found; without ``fewer`` only with each filling repeated as often as it fits."""
+    budget, total = [steps], sum(s * n for s, n in counts.items())
+    stack: list[Iterator[Filling]] = []
     taken: Solution = []
     left, used = total, 0
+    skipped: Filling | None = None  # repeating it once more is the branch before
 
     def apply(filling: Filling, n: int) -> None:
+        nonlocal left, used
         for s, k in filling:
             counts[s] -= n * k
+        left, used = left - n * sum(s * k for s, k in filling), used + n
+
+    def following(fillings: Iterator[list[int]], longest: int, skip: Filling | None = None) -> Iterator[Filling]:
+        for found in fillings:
+            uses: dict[int, int] = {}
+            for s in (longest, *found):
+                uses[s] = uses.get(s, 0) + 1
+            if tuple(uses.items()) != skip:
+                yield tuple(uses.items())
 
     while budget[0] >= 0:
         if left == 0 and used < bins(best):
-            best = [(f, n) for f, n in taken]
+            best = list(taken)
             if used == bound:
                 break
         waste = (bins(best) - 1) * capacity - total - (used * capacity - (total - left))  # what a better solution may still waste
+        filling = None
         if left and waste >= 0:
             longest = max(s for s, n in counts.items() if n)
             room = capacity - longest
-            stack.append((_fillings(counts, longest, room, room - waste, budget), longest))
-        else:
-            if not stack:
-                break
-            filling, n = taken.pop()
-            apply(filling, -n)
-            left, used = left + n * sum(s * k for s, k in filling), used - n
-        while stack:
-            fillings, longest = stack[-1]
-            if (chosen := next(fillings, None)) is not None:
-                break
-            stack.pop()
-            if not stack:
+            stack.append(following(_fillings(counts, longest, room, room - waste, budget), longest, skipped))
+            filling = next(stack[-1], None)
+        skipped = None
+        while filling is None:
+            if len(stack) > len(taken):  # no filling left here
+                stack.pop()
+            if not taken:
                 return best
-            filling, n = taken.pop()
-            apply(filling, -n)
-            left, used = left + n * sum(s * k for s, k in filling), used - n
-        else:
-            break
-        uses: dict[int, int] = {}
-        for s in (longest, *chosen):
-            uses[s] = uses.get(s, 0) + 1
-        filling = tuple(uses.items())
-        n = 1 if number <= EACH else min(counts[s] // k for s, k in filling)
-        apply(filling, n)
-        taken.append((filling, n))
-        left, used = left - n * sum(s * k for s, k in filling), used + n
+            before, n = taken.pop()
+            apply(before, -n)
+            if fewer and n > 1:
+                budget[0] -= 1
+                apply(before, n - 1)
+                taken.append((before, n - 1))
+                skipped = before
+                break
+            filling = next(stack[-1], None)
+        if filling is not None:
+            n = min(counts[s] // k for s, k in filling)
+            apply(filling, n)
+            taken.append((filling, n))
     return best
 
 

@@ -116,6 +116,18 @@ def test_completion_is_optimal_on_small_sets():
     assert better
 
 
+def test_many_pieces_are_searched_like_few():
+    # best fit and full repeats alone need 119 and 160 sequences
+    for capacity, items, fewest_bins in ((52, {21: 65, 24: 149, 4: 104, 6: 127}, 118), (53, {25: 74, 11: 195, 15: 113, 12: 73, 7: 86, 17: 72}, 159)):
+        solution = packing.solve(dict(items), capacity)
+        placed = Counter()
+        for filling, n in solution:
+            assert sum(s * k for s, k in filling) <= capacity
+            for s, k in filling:
+                placed[s] += n * k
+        assert placed == items and packing.bins(solution) == fewest_bins == packing.lower_bound(items, capacity)
+
+
 def check_packing(rows, docs, capacity):
     by_doc = Counter()
     for doc, text in docs:
