@@ -1,10 +1,14 @@
 """Sentences, tokens and rules end to end."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexweave import api
 from lexweave.operators import report as rp, rules as ru, tokens as tk
+from lexweave.plans.scale import cluster
 from lexweave.sources import corpus
 
 
@@ -161,3 +165,18 @@ def test_vowel_harmony_is_among_the_errors(spark, dims):
     rows = spark.createDataFrame([(1, "Umuntu arakorisha."), (2, "Umuntu arakoresha.")], "doc_id bigint, text string")
     found = api.analyze(rows, dims=dims)["errors"].where("type = 'SPELLING'").collect()
     assert [(r.doc_id, r.corrected_word) for r in found] == [(1, "arakoresha")]
+
+
+QUOTED = [
+    '"A" b "c. "D" e', 'x “a" b "c" ” "d." E f.\' "G', 'He said "yes." "No!" Then “ok.” \' B', '"" "" . " " T "', None, "", "...",
+    '« "a" » “"b" c” "', "a ’ b 'c' ‘D’ e.’ F", '" ” " “ " . ” ” X " Y. "Z',
+]
+
+
+def test_flags_in_the_sentence_are_those_of_the_windows(spark):
+    rows = [*enumerate(QUOTED), (100, 'One "two. Three" four.'), (100, 'One "two. Three" four.'), (None, 'A. "b"')]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = tk.tokens(df), tk.flagged(tk.tokenize(tk.sentences(cluster(df, "doc_id"))))
+    assert got.columns == want.columns and Counter(got.collect()) == Counter(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan.replace("SortAggregate", "")
