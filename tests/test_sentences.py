@@ -180,3 +180,11 @@ def test_flags_in_the_sentence_are_those_of_the_windows(spark):
     assert got.columns == want.columns and Counter(got.collect()) == Counter(want.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan.replace("SortAggregate", "")
+
+
+def test_clauses_and_chains_need_no_sort_of_their_own(spark):
+    rows = tagged(spark, [("n", "NOUN", 7, None, None), ("cya", "PRONOUN", 7, "POSSESSIVE", None), ("n", "NOUN", 7, None, None)])
+    for out in (ru.clause_punct(rows), ru.retag(rows)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if re.match(r"\W*Window ", line)]
+        assert windows and not any("_run#" in line or "_odd#" in line.rsplit("[doc_id", 1)[-1] or "_clause#" in line for line in windows)
