@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -104,12 +105,13 @@ class Encoder:
     space meets white space, or which begins or ends with it, goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CHUNK_CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.kept = kept
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
@@ -165,9 +167,9 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        if len(self.pieces) > CHUNK_CACHE:  # pieces that are met again move over from the older half
+        if len(self.pieces) > self.kept:  # pieces that are met again move over from the older half
             self.older, self.pieces = self.pieces, {}
-        if len(self.firsts) > CHUNK_CACHE:
+        if len(self.firsts) > self.kept:
             self.firsts.clear()
         out: list = []
         later, whole, firsts, rest = [], [], set(), set()
@@ -202,21 +204,31 @@ class Encoder:
         return [np.frombuffer(x, dtype=self.dtype) for x in out]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kept: int = CHUNK_CACHE) -> Encoder:
+    """The worker's own encoder for a file, which keeps about ``kept`` pieces and as many older ones."""
+    if (path, kept) not in _ENCODERS:
+        drop_encoders()
+        _ENCODERS[path, kept] = Encoder(path, kept)
+    return _ENCODERS[path, kept]
 
 
 def drop_encoders() -> None:
-    """Gives back the memory of the pieces that a worker has kept, before it goes on to other work."""
+    """Gives back what a worker holds of earlier work, kept pieces and freed memory, before it goes on to other work."""
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which Arrow and the C library else hold for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
 
 
 def default_tokenizer() -> str:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.llm.common import batch_of, free_name, text_slices
+from lexweave.llm.common import batch_of, drop_encoders, free_name, text_slices
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass holds; a larger benchmark takes more passes over the documents.
@@ -186,6 +186,7 @@ def find(
         patterns = context.broadcast(Patterns(items, window))
 
         def run(batches, patterns=patterns):
+            drop_encoders()
             for batch in batches:
                 for part in text_slices(batch, text_column):
                     found = patterns.value.hits(part.column(text_column).to_pylist(), part.column(found_column).to_pylist())

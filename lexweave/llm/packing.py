@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lexweave.llm.common import batch_of, encoder, text_slices, texts, written
+from lexweave.llm.common import batch_of, drop_encoders, encoder, give_back, text_slices, texts, written
 
 END_ID = 0
 CAPACITY = 2048
 #: Steps of each search for fillings before the best solution so far is taken.
 STEPS = 200_000
+#: Pieces of text whose ids a worker keeps here, and as many older ones; the JVM beside it may already be large.
+KEPT = 150_000
 #: Pieces of one length that one task ranks.
 RANKED = 2_000
 
@@ -251,8 +253,9 @@ def pieces(
     schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if keep_ids else fields)
 
     def split(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT)
         for batch in batches:
+            give_back()
             for part in text_slices(batch, most=1_000_000):
                 rows = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts(part.column("text")))):
@@ -289,6 +292,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool
     schema = T.StructType([*all_pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
+        drop_encoders()
         for batch in batches:
             found = places.find(*(batch.column(c).to_numpy() for c in ("length", "_rank")))
             kept = [batch.column(c) for c in names[:-1]]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.llm import boosting
-from lexweave.llm.common import free_name, text_slices, texts
+from lexweave.llm.common import drop_encoders, free_name, text_slices, texts
 
 #: Labelled rows that a fit may see, at most.
 SAMPLE = 12_000
@@ -58,6 +58,7 @@ def with_statistics(df: DataFrame, *carried: str) -> DataFrame:
     schema = source.drop("text").schema
 
     def run(batches):
+        drop_encoders()
         for batch in batches:
             for part in text_slices(batch):
                 rows = np.array([statistics(x) for x in texts(part.column("text"))], dtype=np.float64).reshape(-1, len(NAMES))
@@ -83,6 +84,7 @@ def score(df: DataFrame, model: boosting.Trees, text_column: str = "text", score
     out = df.select(*names, F.lit(0.0).alias(score_column)).schema
 
     def run(batches):
+        drop_encoders()
         for batch in batches:
             for part in text_slices(batch, text_column):
                 rows = np.array([statistics(x) for x in texts(part.column(text_column))], dtype=np.float64).reshape(-1, len(NAMES))

@@ -87,10 +87,25 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_order(codes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places of codes, of one word or a row of words each, by group and Gray order."""
+    words = codes[:, None] if codes.ndim == 1 else codes
+    ranks, odd = [], np.zeros(len(words), dtype=np.uint64)
+    for w in range(words.shape[1]):  # after an odd number of ones the words to come run backwards
+        ranks.append(gray_rank(words[:, w]) ^ (np.uint64(0) - odd))
+        odd ^= np.bitwise_count(words[:, w]).astype(np.uint64) & np.uint64(1)
+    return np.lexsort((*reversed(ranks), group))
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Set bits of every code."""
+    return np.bitwise_count(x) if x.ndim == 1 else np.bitwise_count(x).sum(axis=-1, dtype=np.uint8)
+
+
 def index(codes: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """Levels from the roots down: first child, end of children, bits beyond the parent's, pattern. Leaves are the codes.
 
-    ``codes`` lie in Gray order within each ``group``; no node covers two groups.
+    ``codes``, of one word or a row of words each, lie in Gray order within each ``group``; no node covers two groups.
     """
     ones, zeros = codes, ~codes
     starts, ends, owner = np.arange(len(codes)), np.arange(1, len(codes) + 1), group
@@ -107,7 +122,7 @@ def index(codes: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     levels.reverse()
     out = [(*levels[0][:2], levels[0][2], levels[0][3])]
     for (s, e, parent, _), (s2, e2, mask, ones) in zip(levels, levels[1:]):
-        out.append((s2, e2, mask & ~np.repeat(parent, e - s), ones))
+        out.append((s2, e2, mask & ~np.repeat(parent, e - s, axis=0), ones))
     return out + [owner]
 
 
@@ -118,16 +133,24 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[which]
 
 
-def search(queries: np.ndarray, query_group: np.ndarray, codes: np.ndarray, group: np.ndarray, most: int = MOST):
-    """Blocks of pairs (query, code) of one group that differ in at most ``most`` bits."""
+def search(queries: np.ndarray, query_group: np.ndarray, codes: np.ndarray, group: np.ndarray, most: int = MOST, at_once: int | None = None):
+    """Blocks of pairs (query, code) of one group that differ in at most ``most`` bits.
+
+    A block goes down the index for ``QUERIES`` queries, or for so many that their groups have about ``at_once`` codes.
+    """
     *levels, owner = index(codes, group)
     first, end = np.searchsorted(owner, query_group, side="left"), np.searchsorted(owner, query_group, side="right")
-    for at in range(0, len(queries), QUERIES):
-        q, node = _expand(first[at : at + QUERIES], end[at : at + QUERIES])
+    cuts = list(range(0, len(queries), QUERIES))
+    if at_once:
+        met = np.searchsorted(group, query_group, side="right") - np.searchsorted(group, query_group, side="left")
+        block = np.cumsum(met) // at_once
+        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() if len(block) else []
+    for at, stop in zip(cuts, [*cuts[1:], len(queries)]):
+        q, node = _expand(first[at:stop], end[at:stop])
         q += at
         far = np.zeros(len(q), dtype=np.uint8)
         for depth, (starts, ends, mask, ones) in enumerate(levels):
-            far = far + np.bitwise_count((queries[q] ^ ones[node]) & mask[node])
+            far = far + _ones((queries[q] ^ ones[node]) & mask[node])
             near = far <= most
             q, node, far = q[near], node[near], far[near]
             if depth + 1 < len(levels):
@@ -151,30 +174,54 @@ def _gray(fp: str):
     return F.shiftrightunsigned(rank, 1)  # keeps the order and fits a signed long
 
 
-def links(fps: DataFrame, most: int = MOST) -> DataFrame:
-    """``a, b``: fingerprints that differ in 1 to 3 bits, enough of them to connect all that such links connect.
+def range_marks(rows: DataFrame) -> DataFrame:
+    """``run, value, marks``: where buckets of more than ``RANGE`` of ``rows(run, value, g)`` are cut, ``g`` being Gray rank.
 
-    ``fps.fp`` must be distinct. Ranges are bounded by quantiles of Gray rank that Spark merges from sketches, so no task
-    sorts a bucket whole; their exact place does not matter, as every two ranges with near nodes meet.
+    Ranges are bounded by quantiles that Spark merges from sketches, so no task sorts a bucket whole; their exact place does
+    not matter, as every two ranges with near nodes meet.
     """
-    rows = _runs(fps).withColumn("g", _gray("fp"))
     sizes = rows.groupBy("run", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANGE)
     big = rows.join(sizes, ["run", "value"])
     parts = F.ceil(F.max("n") / RANGE).cast("int")
     marks = big.groupBy("run", "value").agg(F.percentile_approx("g", F.array(*(F.lit(i / 256) for i in range(1, 256))), 4096).alias("q"), parts.alias("parts"))
-    marks = marks.select("run", "value", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("parts")).cast("int")) == 0)).alias("marks"))
+    return marks.select("run", "value", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("parts")).cast("int")) == 0)).alias("marks"))
+
+
+def dealt(rows: DataFrame, marks: DataFrame, words: list[str], most: int, *carried: str) -> DataFrame:
+    """``bucket, side`` and the columns of ``rows(run, value, g, *words, *carried)``: a bucket, or two of its ranges that may be near.
+
+    The bits that all codes of a range share, over all their ``words``, are its node; two ranges whose nodes differ in more
+    than ``most`` shared bits never meet.
+    """
+    own = [*words, *carried]
     chunk = F.coalesce(F.size(F.filter("marks", lambda x: x < F.col("g"))), F.lit(0))
-    rows = rows.join(marks, ["run", "value"], "left").select("run", "value", F.greatest(chunk, F.lit(0)).alias("chunk"), "fp", F.col("marks").isNotNull().alias("cut"))
-    nodes = rows.where("cut").groupBy("run", "value", "chunk").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"))
-    other = nodes.select("run", "value", F.col("chunk").alias("chunk2"), F.col("ones").alias("ones2"), F.col("zeros").alias("zeros2"))
-    apart = F.bit_count(F.expr("(ones & zeros2) | (zeros & ones2)"))
+    rows = rows.join(marks, ["run", "value"], "left").select("run", "value", F.greatest(chunk, F.lit(0)).alias("chunk"), *own, F.col("marks").isNotNull().alias("cut"))
+    shared = [x for i, w in enumerate(words) for x in (F.bit_and(w).alias(f"ones{i}"), F.bit_and(F.bitwise_not(w)).alias(f"zeros{i}"))]
+    nodes = rows.where("cut").groupBy("run", "value", "chunk").agg(*shared)
+    other = nodes.select("run", "value", *(F.col(c).alias(f"{c}_2") for c in nodes.columns[2:])).withColumnRenamed("chunk_2", "chunk2")
+    apart = sum((F.bit_count(F.expr(f"(ones{i} & zeros{i}_2) | (zeros{i} & ones{i}_2)")) for i in range(len(words))), F.lit(0))
     near = nodes.join(other, ["run", "value"]).where(F.col("chunk") <= F.col("chunk2")).where(apart <= most)
     near = near.select("run", "value", F.explode(F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("chunk2").alias("chunk"), F.lit(1).alias("side")))).alias("c"), F.concat_ws("-", "chunk", "chunk2").alias("pair"))
     near = near.select("run", "value", "c.chunk", "c.side", "pair").distinct()
-    met = rows.where("cut").join(near, ["run", "value", "chunk"]).select("run", "value", "pair", "side", "fp")
-    single = rows.where("NOT cut").select("run", "value", F.lit("").alias("pair"), F.lit(0).alias("side"), "fp")
-    dealt = single.union(met).select(F.xxhash64("run", "value", "pair").alias("bucket"), "side", "fp")
-    keyed = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    met = rows.where("cut").join(near, ["run", "value", "chunk"]).select("run", "value", "pair", "side", *own)
+    single = rows.where("NOT cut").select("run", "value", F.lit("").alias("pair"), F.lit(0).alias("side"), *own)
+    return single.union(met).select(F.xxhash64("run", "value", "pair").alias("bucket"), "side", *own)
+
+
+def asked_and_told(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries and of codes: in a group of two ranges the second asks the first, elsewhere all ask all."""
+    double = np.zeros(group[-1] + 1, dtype=bool) if len(group) else np.zeros(0, dtype=bool)
+    double[group[side == 1]] = True
+    return np.flatnonzero((side == 1) | ~double[group]), np.flatnonzero((side == 0) | ~double[group])
+
+
+def links(fps: DataFrame, most: int = MOST) -> DataFrame:
+    """``a, b``: fingerprints that differ in 1 to 3 bits, enough of them to connect all that such links connect.
+
+    ``fps.fp`` must be distinct.
+    """
+    rows = _runs(fps).withColumn("g", _gray("fp"))
+    keyed = dealt(rows, range_marks(rows), ["fp"], most).repartition("bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(batches):
@@ -185,12 +232,9 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
         bucket, side = table.column("bucket").to_numpy(), table.column("side").to_numpy()
         codes = table.column("fp").to_numpy().view(np.uint64)
         group = np.cumsum(np.append(0, bucket[1:] != bucket[:-1]))
-        order = np.lexsort((gray_rank(codes), group))
+        order = gray_order(codes, group)
         codes, group, side = codes[order], group[order], side[order]
-        double = np.zeros(group[-1] + 1, dtype=bool) if len(group) else np.zeros(0, dtype=bool)
-        double[group[side == 1]] = True
-        ask = np.flatnonzero((side == 1) | ~double[group])
-        told = np.flatnonzero((side == 0) | ~double[group])
+        ask, told = asked_and_told(group, side)
         root = np.arange(len(codes))
         for q, node in search(codes[ask], group[ask], codes[told], group[told], most):
             a, b = ask[q], told[node]

@@ -88,3 +88,44 @@ def test_near_copies_through_the_chained_stages(spark, tmp_path):
     left = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, cut, str(tmp_path)).collect()}
     caught = sum(len(g - left) for g in groups)
     assert caught >= 0.9 * 50 and all(min(g) in left for g in groups) and {200 + k for k in range(20)} <= left
+
+
+def test_near_pairs_come_through_the_gray_index(monkeypatch):
+    """The stage searches op4's hierarchical index; the pairs connect what all near pairs connect, also over two ranges."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, size=(40, 2), dtype=np.uint64)
+    checks = base[rnd.integers(0, 40, size=600)]
+    for _ in range(12):
+        checks = checks ^ (np.uint64(1) << rnd.integers(0, 64, size=(600, 2), dtype=np.uint64))
+    group, side = np.repeat([7, 3, 5], 200), np.tile([0, 1], 300)
+    asked = []
+    search = simhash.search
+    monkeypatch.setattr(simhash, "search", lambda *args: asked.append(args[4]) or search(*args))
+
+    def classes(pairs):
+        root = list(range(600))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if x == old else x for x in root]
+        return {frozenset(i for i in range(600) if root[i] == r) for r in root}
+
+    far = np.bitwise_count(checks[:, None] ^ checks[None]).sum(axis=2)
+    near = (far <= similar.NEAR) & (group[:, None] == group[None])
+    for listed in (0, 64):
+        monkeypatch.setattr(similar, "LISTED", listed)
+        monkeypatch.setattr(similar, "AT_ONCE", 5000)
+        a, b = similar.near_pairs(group, checks)
+        assert near[a, b].all() and classes(zip(a, b)) == classes(zip(*np.nonzero(near)))
+        a, b = similar.near_pairs(group, checks, side)
+        across = near & (side[:, None] != side[None])
+        assert across[a, b].all() and classes(zip(a, b)) == classes(zip(*np.nonzero(across)))
+    assert asked == [similar.NEAR] * 4
+
+
+def test_large_buckets_are_cut_into_ranges(spark, make_docs, monkeypatch):
+    docs = copies()
+    expected = sorted(r.doc_id for r in similar.keep_first(make_docs(docs)).collect())
+    dealt, cut = simhash.dealt, []
+    monkeypatch.setattr(simhash, "RANGE", 2)
+    monkeypatch.setattr(simhash, "dealt", lambda *args: cut.append(1) or dealt(*args))
+    assert sorted(r.doc_id for r in similar.keep_first(make_docs(docs)).collect()) == expected and cut
