@@ -130,11 +130,13 @@ bsent AS ({sq.numbered(sq.sentence_list('text'), 'benchmark', 'item_id', 'sent_n
 bvocab AS (SELECT DISTINCT translate(lower(w), 'āēīōū', 'aeiou') AS word FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\r{sq.STOPS}''’]+')) AS w FROM bsent))"""
 
 
-def vocabularies(spark, sf):
-    docs = tk.vocabulary(tk.tokenize(tk.sentences(documents(spark, sf)))).select("word")
+def benchmark_vocabulary(spark, sf):
     bench = table(spark, sf, "benchmark", "item_id", "text")
-    other = tk.vocabulary(tk.tokenize(tk.sentences(bench, ids=["item_id"]), ids=["item_id"])).select("word")
-    return docs, other
+    return tk.stored_vocabulary(tk.sentences(bench, ids=["item_id"])).select("word")
+
+
+def vocabularies(spark, sf):
+    return tk.stored_vocabulary(tk.sentences(documents(spark, sf))).select("word"), benchmark_vocabulary(spark, sf)
 
 
 @query(
