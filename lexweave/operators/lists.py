@@ -116,13 +116,14 @@ def mine_exemplars(
     clips: DataFrame, words: DataFrame, n: int, connectives: Sequence[str], speaker: str = "speaker"
 ) -> DataFrame:
     """J21. Standard words inside clips: not last, not right after a connective, at most ``n`` per word and
-    speaker. ``clips``: clip_id, speaker, text. The neighbour is taken from the word array itself."""
-    w = F.split("text", r"\s+")
-    rows = clips.select("clip_id", speaker, w.alias("_w"), F.posexplode(w).alias("pos", "word"))
-    before = F.get("_w", F.col("pos") - 1)
-    inner = rows.where(
-        (F.col("pos") < F.size("_w") - 1) & (F.coalesce(~before.isin(*connectives), F.lit(True)))
-    ).drop("_w")
+    speaker. ``clips``: clip_id, speaker, text. Words and their neighbours are paired in the clip's row, before words become rows."""
+    cut = clips.select("clip_id", speaker, F.split("text", r"\s+").alias("_w"))
+    inside = F.greatest(F.size("_w") - 1, F.lit(0))  # all but the last
+    before = F.concat(F.array(F.lit(None).cast("string")), "_w")
+    pairs = F.arrays_zip(F.slice("_w", 1, inside).alias("word"), F.slice(before, 1, inside).alias("before"))
+    rows = cut.select("clip_id", speaker, F.posexplode(pairs).alias("pos", "_p"))  # what stands beside it would be worked out per word
+    rows = rows.select("clip_id", speaker, "pos", "_p.word", "_p.before")
+    inner = rows.where(F.coalesce(~F.col("before").isin(*connectives), F.lit(True))).drop("before")
     standard = words.select("word").distinct()
     small = standard.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = (

@@ -11,7 +11,7 @@ from lexweave.queries.base import query, table
 from lexweave.queries.reference import MARKED, moras_sql, plain_sql
 from lexweave.queries.lexicon import lst
 from lexweave.queries.series import VOWELS, vowels
-from lexweave.queries.text_core import VOCAB, vocabularies
+from lexweave.queries.text_core import VOCAB, benchmark_vocabulary, vocabularies
 from lexweave.queries.vocab import vocabulary
 from lexweave.sources import tables as tb
 
@@ -167,8 +167,7 @@ def mine_exemplars(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), F.col("role").alias("speaker"),
         F.lower("text").alias("text"),
     )
-    _, bench = vocabularies(spark, sf)
-    return li.mine_exemplars(clips, bench, 5, sl.CONNECTIVES)
+    return li.mine_exemplars(clips, benchmark_vocabulary(spark, sf), 5, sl.CONNECTIVES)
 
 
 HEARD = "replace(replace(word, 'é', 'e'), 'ee', 'e')"
