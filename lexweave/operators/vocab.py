@@ -124,7 +124,21 @@ def check_spelling(df: DataFrame, plain: str, marked: str) -> DataFrame:
     return df.where(letters != F.lower(F.col(plain)))
 
 
-GRAPHEME = "(" + "|".join(g for g, _, _ in fixed.PHONEMES) + ")"
+def _by_first_letter(graphemes: Sequence[str]) -> str:
+    """A pattern that finds what the graphemes, tried in order, find: a letter looks only at those that begin with it."""
+    rests: dict[str, list[str]] = {}
+    for g in graphemes:
+        rests.setdefault(g[0], []).append(g[1:])
+    alike: dict[tuple[str, ...], str] = {}
+    for letter, tails in rests.items():
+        alike[tuple(tails)] = alike.get(tuple(tails), "") + letter
+    return "|".join(f"[{letters}](?:{'|'.join(tails)})" for tails, letters in alike.items())
+
+
+LETTERS = "".join(dict.fromkeys(g[0] for g, _, _ in fixed.PHONEMES))
+GRAPHEME = "(" + _by_first_letter([g for g, _, _ in fixed.PHONEMES]) + ")"
+# Stand around each phoneme while a text is read.
+OPEN, CLOSE = "\u0002", "\u0003"
 
 
 def phonemes(vocab: DataFrame, word: str = "word") -> DataFrame:
@@ -140,20 +154,22 @@ def phonemes(vocab: DataFrame, word: str = "word") -> DataFrame:
 
 
 def phoneme_string(text: Column) -> Column:
-    """The phonemes of a text as one string, ``|`` between words; pauses stay as marks."""
-    lookup = F.create_map(*[F.lit(x) for g, t, _ in fixed.PHONEMES for x in (g, t)])
-    words = F.filter(F.split(F.lower(text), r"[ \t]+"), lambda w: w != "")
-    said = F.transform(
-        words,
-        lambda w: F.array_join(
-            F.transform(
-                F.regexp_extract_all(w, F.lit(GRAPHEME[:-1] + r"|\.|,)"), F.lit(1)),
-                lambda g: F.coalesce(F.element_at(lookup, g), g),
-            ),
-            " ",
-        ),
-    )
-    return F.array_join(F.filter(said, lambda w: w != ""), " | ")
+    """The phonemes of a text as one string, ``|`` between words; pauses stay as marks.
+
+    The text is read in a few passes over the whole of it, not letter by letter: phonemes are marked, all else but blanks goes,
+    and what stands between two of them becomes their separator.
+    """
+    read = F.lower(text)
+    for mark in (OPEN, CLOSE):
+        read = F.replace(read, F.lit(mark), F.lit("\u0004"))
+    read = F.regexp_replace(read, GRAPHEME[:-1] + r"|\.|,)", f"{OPEN}$1{CLOSE}")
+    read = F.regexp_replace(read, f"[^{LETTERS}., \t{OPEN}{CLOSE}]+", "")
+    for g, t, _ in fixed.PHONEMES:
+        if g != t:
+            read = F.replace(read, F.lit(OPEN + g + CLOSE), F.lit(OPEN + t + CLOSE))
+    read = F.replace(read, F.lit(CLOSE + OPEN), F.lit(" "))
+    read = F.regexp_replace(read, f"{CLOSE}[ \t]+{OPEN}", " | ")
+    return F.btrim(read, F.lit(f"{OPEN}{CLOSE} \t"))
 
 
 def phoneme_profile(df: DataFrame, text: str = "text", ids: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -198,7 +214,10 @@ def normalize(text: Column) -> Column:
     whole = F.regexp_replace(text, "([nNyY])'", "$1a ")
     whole = F.regexp_replace(whole, "([kKmM])'", "$1u ")
     whole = F.regexp_replace(whole, "([A-Za-z])'", "$1 ")
-    pieces = F.regexp_extract_all(whole, F.lit(r"([0-9]+|[A-Za-z]+|[^0-9A-Za-z]+)"), F.lit(1))
+    # numbers, abbreviations that stand alone, and all between them in one piece
+    known = "(?i:" + "|".join(a for a, _ in fixed.ABBREVIATIONS) + ")(?![A-Za-z])"
+    between = f"(?:[^0-9A-Za-z]++|(?!{known})[A-Za-z]++)++"
+    pieces = F.regexp_extract_all(F.when(text.contains("'"), whole).otherwise(text), F.lit(f"([0-9]+|{known}|{between})"), F.lit(1))
     short = F.create_map(*[F.lit(x) for pair in fixed.ABBREVIATIONS for x in pair])
 
     def piece(p: Column) -> Column:
@@ -210,9 +229,8 @@ def normalize(text: Column) -> Column:
         )
 
     out = F.array_join(F.transform(pieces, piece), "")
-    out = F.regexp_replace(out, "[.!?]", " .")
-    out = F.regexp_replace(out, ",", " ,")
-    out = F.regexp_replace(out, "[-;:]", " ")
+    for mark, said in (("!", "."), ("?", "."), (".", " ."), (",", " ,"), ("-", " "), (";", " "), (":", " ")):
+        out = F.replace(out, F.lit(mark), F.lit(said))
     return F.btrim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
 
 
