@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
+from lexweave.plans.scale import stored
 
 TRIGGER_CANDIDATES = 20
 
@@ -37,18 +38,21 @@ def _target(mark: str):
 def trigger_scores(s: DataFrame, mark: str, minimum: int) -> DataFrame:
     """Words of sentences ending in ``mark``: ``word, tc, ratio, coverage`` (K1 order not yet applied).
 
-    One pass counts every word on both sides (merged map-side). Totals come from those counts and the
-    number of target sentences, as scalar subqueries: no join carries them.
+    One pass over the text counts every piece between blanks on both sides (merged map-side) and, as a piece that is null,
+    the sentences. The words are read from the counted pieces, which are written once; totals come from the counts as scalar
+    subqueries: no join carries them.
     """
-    sides = s.select(
-        _target(mark).alias("hit"),
-        (F.length("text") > 8).alias("long"),
-        F.explode(tx.raw_frequency_words(F.col("text"))).alias("_raw"),
-    ).where((F.col("hit") | F.col("long")) & (F.length("_raw") > 1))
-    sides = sides.select("hit", tx.word_of(F.col("_raw")).alias("word")).where(~F.col("word").rlike(r"^\d+$"))
-    counts = sides.groupBy("word").agg(F.count_if("hit").alias("tc"), F.count_if(~F.col("hit")).alias("oc"))
+    sides = s.select(_target(mark).alias("hit"), (F.length("text") > 8).alias("long"), tx.raw_frequency_pieces(F.col("text")).alias("_p"))
+    pieces = sides.where(F.col("hit") | F.col("long")).select("hit", F.explode(F.array_append("_p", F.lit(None).cast("string"))).alias("piece"))
+    pieces = pieces.groupBy("hit", "piece").agg(F.count(F.lit(1)).alias("n"))
+    pieces = stored(pieces, "pieces")
+    sides = pieces.select("hit", "n", F.explode(tx.raw_frequency_words(F.col("piece"))).alias("_raw")).where(F.length("_raw") > 1)
+    sides = sides.select("hit", "n", tx.word_of(F.col("_raw")).alias("word")).where(~F.col("word").rlike(r"^\d+$"))
+    counts = sides.groupBy("word").agg(
+        F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("tc"), F.sum(F.when(F.col("hit"), 0).otherwise(F.col("n"))).alias("oc")
+    )
     totals = counts.agg(F.struct(F.sum("tc").alias("t"), F.sum("oc").alias("o")).alias("s"))
-    targets = s.where(_target(mark)).agg(F.count(F.lit(1)).alias("n"))
+    targets = pieces.where(F.col("hit") & F.col("piece").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     scored = (
         counts.where((F.col("tc") >= minimum) & (F.length("word") >= 2))
         .withColumn("_s", totals.scalar())
