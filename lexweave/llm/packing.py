@@ -16,14 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lexweave.llm.common import batch_of, drop_encoders, encoder, give_back, text_slices, texts, written
+from lexweave.llm.common import CHUNK_CACHE, batch_of, drop_encoders, encoder, give_back, text_slices, texts, written
 
 END_ID = 0
 CAPACITY = 2048
 #: Steps of each search for fillings before the best solution so far is taken.
 STEPS = 200_000
-#: Pieces of text whose ids a worker keeps here, and as many older ones; the JVM beside it may already be large.
-KEPT = 150_000
 #: Pieces of one length that one task ranks.
 RANKED = 2_000
 
@@ -246,14 +244,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(
-    df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False
+    df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False,
+    kept: int = CHUNK_CACHE,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document, and with ``keep_ids`` its ids."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, and with ``keep_ids`` its ids.
+
+    A worker keeps the ids of about ``kept`` pieces of text and as many older ones: fewer take less memory and more time.
+    """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if keep_ids else fields)
 
     def split(batches):
-        enc = encoder(tokenizer, KEPT)
+        enc = encoder(tokenizer, kept)
         for batch in batches:
             give_back()
             for part in text_slices(batch, most=1_000_000):
@@ -270,14 +272,14 @@ def pieces(
     return rows.mapInArrow(split, kinds)
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, **columns: str) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, kept: int = CHUNK_CACHE, **columns: str) -> DataFrame:
     """The pieces of all documents with sequence_id and offset, in as few sequences as the search finds.
 
     A null text is empty: id 0 alone. Repeated rows are packed as often as they occur; a null id stays null; other columns
     are ignored; an empty table gives no row.
     """
     spark = df.sparkSession
-    all_pieces = pieces(df, tokenizer, capacity, keep_ids=keep_ids, **columns)
+    all_pieces = pieces(df, tokenizer, capacity, keep_ids=keep_ids, kept=kept, **columns)
     rows = written(all_pieces.withColumn("_n", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length up to the capacity
     places = Places(solve(histogram, capacity))
