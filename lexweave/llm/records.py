@@ -22,6 +22,8 @@ from lexweave.llm.common import batch_of, encoder, text_slices, texts, written
 
 END_ID = 0
 RECORDS_PER_FILE = 2048
+#: Pieces of text whose ids a worker keeps here, and as many older ones.
+KEPT = 600_000
 #: Bytes of text that one file partition is meant to hold.
 PARTITION_BYTES = 64 << 20
 LANE = 512
@@ -139,7 +141,7 @@ def write_records(
     schema = pa.schema([("record", pa.binary())])
 
     def encode(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT)
         wide = enc.dtype.itemsize == 4
         end = np.array([END_ID], dtype=enc.dtype).tobytes()
         for batch in batches:
